@@ -9,12 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_batches
+from . import license_scan
+from .exact_topk import exact_top_k
 from .language_id import identify_language
 from .packing import pack
 from .quality_crf import score_quality
 from .sentencepiece_codec import encode_decode
 from .token_counts import token_counts
 from .toxicity import score_toxicity
+from .vptree_ann import nearest_neighbours
+
+
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), query_modulus=50, k=5)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +67,30 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), query_modulus=100, k=10, factor=0.5)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     return identify_language(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_quality_crf": op2_quality_crf,
     "op3_token_counts": op3_token_counts,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
+    "op8_vptree_ann": op8_vptree_ann,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op9_license_scan": license_scan.oracle_sql()}
