@@ -12,6 +12,7 @@ from .common import read_table, text_batches
 from . import license_scan
 from .exact_topk import exact_top_k
 from .language_id import identify_language
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality_crf import score_quality
 from .sentencepiece_codec import encode_decode
@@ -67,6 +68,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    joined = ngram_join(read_table(spark, sf_dir, "documents"), percent=90, size=3)
+    return joined.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+
+
 def op8_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), query_modulus=100, k=10, factor=0.5)
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_join": op7_ngram_join,
     "op8_vptree_ann": op8_vptree_ann,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import packing, quality_crf, toxicity
+from barloom.llm import ngram_join, packing, quality_crf, toxicity
 from barloom.llm.common import materialize, read_table, text_batches
 
 #: The classifiers' stages cannot be written as SQL; they are tested against plain versions.
@@ -34,13 +34,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(toxicity.scorer(lexicon, spark)(F.col("text")) < 0.7)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id; rows without an id stay."""
+    text_batches(spark)
+    joined = ngram_join.ngram_join(docs, percent=90, size=3)
+    kept = joined.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    first = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences of 4096 tokens."""
     text_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
-STAGES = [("quality", keep_good), ("toxicity", drop_toxic), ("packing", pack_sequences)]
+STAGES = [("quality", keep_good), ("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
