@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -25,3 +27,19 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(archive)
     context._barloom_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local tests, a
+    temporary folder is made, set as the session's checkpoint directory and removed at exit.
+    """
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not given:
+        folder = tempfile.mkdtemp(prefix="barloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+        given = context.getCheckpointDir()
+    return given
