@@ -49,8 +49,8 @@ class BoostedTrees(ProbabilityModel):
             rows = rows.unionByName(validation.withColumn("__check", F.lit(True)))
         vectors = VectorAssembler(inputCols=self.names, outputCol="__x")
         trees = GBTClassifier(
-            featuresCol="__x", labelCol="target_up", maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, subsamplingRate=self.sample, seed=self.seed, probabilityCol="__p",
-        )
+            featuresCol="__x", labelCol="target_up", maxIter=self.trees, maxDepth=self.depth, stepSize=self.step, subsamplingRate=self.sample, seed=self.seed,
+        ).setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__prediction")
         if validation is not None:
             trees = trees.setValidationIndicatorCol("__check")
         data = vectors.transform(rows.withColumn("target_up", F.col("target_up").cast("double")))
