@@ -324,7 +324,8 @@ def run(rows: DataFrame, make: Callable[[SignalParams], Machine], params: Signal
                 machine.step(bar)
                 out += machine.events
                 machine.events.clear()
-            yield pd.DataFrame(out, columns=EVENT_COLUMNS)
+            if out:
+                yield pd.DataFrame(out, columns=EVENT_COLUMNS)
 
     numbers = ["prev_close", "mean", "std", "safe_atr", "z", "prev_z", "htf_slope", "local_slope", "half_life"]
     given = rows.select(BAR_INPUT).withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in numbers}).withColumn("open_time", F.col("open_time").cast("timestamp_ntz"))

@@ -143,7 +143,8 @@ def zip_lines(spark: SparkSession, pattern: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for member in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
                         lines = archive.read(member).decode("utf-8-sig").splitlines()
-                        yield pd.DataFrame({"file": path, "member": member, "line_no": range(len(lines)), "line": lines})
+                        if lines:
+                            yield pd.DataFrame({"file": path, "member": member, "line_no": range(len(lines)), "line": lines})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(pattern)
     return files.select("path", "content").mapInPandas(unpack, "file string, member string, line_no long, line string")

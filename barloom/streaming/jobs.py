@@ -57,7 +57,8 @@ def stream_settlement(feed: DataFrame, payout: Payout = Payout(), horizons: tupl
             state.update((due,))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["symbol", "event_id", "horizon", "result", "settle_price", "settled_time", "pnl"])
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "event_id", "horizon", "result", "settle_price", "settled_time", "pnl"])
 
     rows = feed.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("kind", F.when(F.col("event_id").isNull(), 1).otherwise(0))
     marked = rows.withWatermark("ts", delay)
