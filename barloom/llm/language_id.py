@@ -67,7 +67,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: i
                 total = totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 for hashed in grams(text):
                     total += np.bincount(hashed, minlength=BUCKETS)
-        yield pd.DataFrame({"lang": list(totals), "counts": [t.tobytes() for t in totals.values()]})
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "counts": [t.tobytes() for t in totals.values()]})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, dtype=np.int64) for c in rows["counts"])

@@ -126,6 +126,25 @@ def pieces_of(df: DataFrame, definition: str, end_id: int, capacity: int, id_col
     return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
 
 
+def finish(capacity: int, rest: pd.DataFrame) -> pd.DataFrame:
+    """The pieces left over by all classes, largest first, each into the first sequence with room."""
+    rest = rest.sort_values(["length", "k", "rank"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    room, count, sequence, slot = [], [], [], []
+    for length in rest["length"]:
+        at = next((i for i, left in enumerate(room) if left >= length), len(room))
+        if at == len(room):
+            room.append(capacity)
+            count.append(0)
+        sequence.append(at)
+        slot.append(count[at])
+        room[at] -= length
+        count[at] += 1
+    out = rest[["doc", "start", "length", "ids_crc32", "doc_tokens"]].copy()
+    out["doc"] = out["doc"].astype("Int64")
+    out["sequence_id"], out["slot"] = rest["all_full"] + np.array(sequence, dtype=np.int64), np.array(slot, dtype=np.int64)
+    return out
+
+
 def pack(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places of all pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, padded_length``.
@@ -133,23 +152,27 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096,
     A document's ids are those of its text, without special tokens, and then ``end_id``; a null
     text counts as empty and so has one id. Rows with a null or repeated id are packed like others,
     each as a document of its own. Other columns are ignored; an empty table gives an empty result.
-    Each id is in exactly one piece. A sequence holds pieces of one class, at offsets without gaps
-    from 0, and is padded to ``capacity`` unless its filled length is a power of two.
+    Each id is in exactly one piece. A sequence holds pieces of one class, or what the classes left
+    over, at offsets without gaps from 0, and is padded to ``capacity`` unless its filled length is a power of two.
 
     The pieces (not the texts) are written once, so the ranks stay as they are when a task is run
-    again. The only values that meet in one place are the counts per task and class.
+    again. What meets in one place are the counts per task and class and, at last, less than k pieces
+    of each class k (some 20,000 pieces at most for a capacity of 4096).
     """
     pieces = materialize(pieces_of(df, read_definition(tokenizer_path), end_id, capacity, id_col, text_col), "pieces")
     per_task = pieces.groupBy("k", "task").agg(F.count("*").alias("n"))
     before = per_task.withColumn("before", F.sum("n").over(Window.partitionBy("k").orderBy("task")) - F.col("n")).drop("n")
-    classes = per_task.groupBy("k").agg(F.ceil(F.sum("n") / F.col("k")).cast("long").alias("sequences"))
-    first = classes.withColumn("first", F.sum("sequences").over(Window.orderBy("k")) - F.col("sequences")).drop("sequences")
-    rank = F.col("before") + F.col("rank")
-    placed = (
-        pieces.join(before.join(first, "k"), ["k", "task"])
-        .withColumn("sequence_id", F.col("first") + F.floor(rank / F.col("k")))
-        .withColumn("slot", rank % F.col("k"))
-    )
+    classes = per_task.groupBy("k").agg(F.sum("n").alias("n")).withColumn("full", F.floor(F.col("n") / F.col("k")))
+    everything = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = classes.select("k", "full", (F.sum("full").over(Window.orderBy("k")) - F.col("full")).alias("first"), F.sum("full").over(everything).alias("all_full"))
+    ranked = pieces.join(before.join(first, "k"), ["k", "task"]).withColumn("rank", F.col("before") + F.col("rank"))
+    ranked = ranked.withColumn("open", F.col("rank") >= F.col("full") * F.col("k"))
+    columns = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"]
+    whole = ranked.filter("NOT open").withColumns({"sequence_id": F.col("first") + F.floor(F.col("rank") / F.col("k")), "slot": F.col("rank") % F.col("k")}).select(columns)
+    # Unfinished sequences: fewer than k pieces of each class, so a bounded number however large the corpus.
+    rest = ranked.filter("open").select("doc", "start", "length", "ids_crc32", "doc_tokens", "all_full", "k", "rank")
+    schema = "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
+    placed = whole.unionByName(rest.groupBy("all_full").applyInPandas(lambda left: finish(capacity, left), schema))
     within = Window.partitionBy("sequence_id")
     filled = F.sum("length").over(within)
     return placed.select(

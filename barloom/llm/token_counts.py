@@ -94,7 +94,8 @@ def frequent_pre_tokens(df: DataFrame, text_col: str, definition: str, sample_do
                 if text:
                     seen.update(p for p in pattern.findall(text) if len(p) <= LONGEST)
         top = seen.most_common(FREQUENT)
-        yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
 
     rows = df.count()
     if not rows:

@@ -56,7 +56,7 @@ def _unleet(match: re.Match) -> str:
     word = match.group()
     body = word.rstrip("@$")
     letters = sum(c.isalpha() for c in body)
-    return body.translate(LEET) + word[len(body):] if letters >= 2 and letters * 2 >= len(body) else word
+    return body.translate(LEET) + word[len(body):] if letters >= 2 and letters * 3 >= len(body) else word
 
 
 @dataclass

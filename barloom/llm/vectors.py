@@ -68,7 +68,7 @@ def search(
                 for query_id, query in zip(*pickle.loads(wanted), strict=True):
                     ids, scores = find(held[1], query_id, query, k)
                     rows.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-                yield pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                yield pd.concat(rows)
 
     pairs = spread.join(index, "shard").select("shard", "payload", "queries")
     found = pairs.mapInPandas(probe, f"query_id long, vec_id long, score {score_type}")
