@@ -7,11 +7,11 @@ least total loss against the margins of all bits; if the runner-up is close, the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ AMBIGUOUS = 0.2
 SAMPLE_DOCS = 20_000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _TO_SPACE = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 _CHUNK = 1 << 20
 
