@@ -139,7 +139,7 @@ def frequency_classes(parts: DataFrame) -> np.ndarray:
 
     rows = parts.filter("kind = 1").select("id", "part").repartition("id").mapInPandas(add, "id long, part binary")
     classes = np.zeros(CELLS, dtype=np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # CELLS bytes in all
         classes[row.id * CHUNK : (row.id + 1) * CHUNK] = np.frombuffer(row.part, dtype=np.uint8)
     return classes
 
@@ -199,7 +199,10 @@ def as_pairs(joined: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
-    """The pairs that reach the threshold, as ids of their classes: ``a, b``.
+    """Links that connect what pairs above the threshold connect, as ids of their classes: ``a, b``.
+
+    Every group links each of its members to the smallest one it is connected with; pairs that are
+    connected already need no comparison.
 
     A pair goes to the group of the smallest node next to its first one, so the pairs of one bunch
     of near copies meet and each text is sent there once. A large group is cut into chunks of a
@@ -225,14 +228,24 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
                 orders = [ordered(h, table, k) for k in range(1, len(ORDERS))]
                 sets[node] = h, [frozenset(o[: limit.index(len(h))].tolist()) for o in orders], [frozenset(o[: limit.probe(len(h))].tolist()) for o in orders]
                 rep[node] = doc
-        out = []
+        root = {node: node for node in sets}
+
+        def find(node: int) -> int:
+            while root[node] != node:
+                root[node] = node = root[root[node]]
+            return node
+
         for a, b in zip(given["a"], given["b"], strict=True):
+            if (u := find(a)) == (v := find(b)):
+                continue
             (x, short, _), (y, _, long) = sorted((sets[a], sets[b]), key=lambda s: len(s[0]))
             if any(s.isdisjoint(t) for s, t in zip(short, long, strict=True)):
                 continue
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             if int((y[at] == x).sum()) >= limit.overlap(len(x), len(y)):
-                out.append((rep[a], rep[b]))
+                low, high = sorted((u, v), key=rep.get)
+                root[high] = low
+        out = [(rep[top], rep[node]) for node in root if (top := find(node)) != node]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     keys = ["g", "i", "j"]
@@ -246,16 +259,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     smallest it knows, until nothing changes. Minima are combined before they are shuffled.
     """
     current = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct(), name)
-    state = None
     while True:
-        mark = current.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if mark == state:
+        # Done when every node hangs on one smaller node and none of those hangs itself.
+        ends = current.select(F.explode(F.array(F.struct(F.col("hi").alias("id"), F.lit(1).alias("hangs")), F.struct(F.col("lo").alias("id"), F.lit(0).alias("hangs")))).alias("e")).select("e.*")
+        loose = ends.groupBy("id").agg(F.sum("hangs").alias("times"), F.min("hangs").alias("least")).filter("times > 1 OR times = 1 AND least = 0")
+        if loose.agg(F.count("*").alias("n")).first().n == 0:
             return current.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(
                 current.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
-        state = mark
         both = current.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(current.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select("hi", "lo", "m")
         stars = small.select(F.col("m").alias("lo"), F.col("hi")).unionByName(small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
