@@ -5,7 +5,7 @@
    the frequency classes that every global order starts with, rarest first.
 2. Two sets that reach the threshold share a token among the first few of each (prefix filter).
    Classes are joined on those tokens of the first order. The join's condition holds the length
-   filter, the positional filter, and a bound on the symmetric difference from 64 parity bits.
+   filter, the positional filter, and a bound on the symmetric difference from 256 parity bits.
 3. Candidates are dealt to groups of bounded size. There each text comes once; a pair must share
    prefix tokens under the other orders too, and what is left is compared exactly.
 4. Only components are wanted. Where a token is in very many classes, a few leaders per token are
@@ -30,7 +30,9 @@ from .common import bitmap_semi_filter, materialize
 #: Cells of the frequency sketch (one byte each when broadcast) and cells of one row of it.
 CELLS, CHUNK = 1 << 22, 1 << 12
 #: Classes with a token above which leaders are compared first, and leaders per token.
-HOT, LEADERS = 128, 16
+HOT, LEADERS = 32, 8
+#: Columns of 64 parity bits each.
+PARITY = ("p0", "p1", "p2", "p3")
 #: Shingles of the texts that one comparison task holds on either side.
 GROUP_SHINGLES = 400_000
 #: Words in a worker's cache before it starts anew, and sets a task remembers to skip copies.
@@ -145,11 +147,11 @@ def frequency_classes(parts: DataFrame) -> np.ndarray:
 
 
 def postings(df: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
-    """Prefix tokens of the first order: ``token, node, n, pos, parity``; a task skips copies it has seen."""
+    """Prefix tokens of the first order: ``token, node, n, pos``, parities; a task skips copies it has seen."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, seen = classes.value, set()
         for batch in batches:
-            token, node, n, pos, parity = [], [], [], [], []
+            token, node, n, pos, parity = [], [], [], [], [[] for _ in PARITY]
             for text in batch["text"]:
                 h = shingles(text, size)
                 if not len(h):
@@ -162,16 +164,17 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
                 seen.add(d)
                 p = limit.probe(len(h))
                 token.append(ordered(h, table, 0)[:p].view(np.int64))
-                bits = np.bitwise_xor.reduce(_U(1) << (h >> _U(58)))
+                odd = np.bincount((h >> _U(56)).astype(np.int64), minlength=64 * len(PARITY)).astype(np.uint8) & 1
                 node.append(np.full(p, d)), n.append(np.full(p, len(h))), pos.append(np.arange(p))
-                parity.append(np.full(p, np.array([bits]).view(np.int64)[0]))
+                for column, bits in zip(parity, np.packbits(odd).view(np.int64), strict=True):
+                    column.append(np.full(p, bits))
             if token:
                 yield pd.DataFrame({
                     "token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(n).astype(np.int32),
-                    "pos": np.concatenate(pos).astype(np.int32), "parity": np.concatenate(parity),
+                    "pos": np.concatenate(pos).astype(np.int32), **{name: np.concatenate(c) for name, c in zip(PARITY, parity, strict=True)},
                 })
 
-    return df.select("text").mapInPandas(read, "token long, node long, n int, pos int, parity long")
+    return df.select("text").mapInPandas(read, "token long, node long, n int, pos int, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def fits(limit: Threshold, a: str, b: str):
@@ -183,7 +186,7 @@ def fits(limit: Threshold, a: str, b: str):
     short_first = (na < nb) | ((na == nb) & (F.col(f"{a}.node") < F.col(f"{b}.node")))
     short_pos = F.when(short_first, F.col(f"{a}.pos")).otherwise(F.col(f"{b}.pos"))
     index = shorter - F.ceil(shorter * (2 * p) / (100 + p) - 1e-6) + 1
-    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITY[1:]), F.bit_count(F.col(f"{a}.{PARITY[0]}").bitwiseXOR(F.col(f"{b}.{PARITY[0]}"))))
     return (
         (shorter * 100 >= longer * p) & (short_pos < index)
         & (F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) >= need) & (apart <= na + nb - 2 * need)
@@ -304,7 +307,7 @@ def ngram_join(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "d
 
     hot = lists.filter("hot")
     salt = F.pmod(F.xxhash64("node", F.lit("leader")), F.lit(LEADERS))
-    lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", "parity")).alias("x")).select("token", "x.*")
+    lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", *PARITY)).alias("x")).select("token", "x.*")
     rep_ids = reps.select("node", "id")
     label = rep_ids.withColumn("comp", F.col("id"))
     edges = None
