@@ -74,6 +74,20 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = w.doc_id
+"""
+
+
 def op8_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), query_modulus=100, k=10, factor=0.5)
@@ -101,4 +115,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op9_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op7_ngram_join": OP7_SQL, "op9_license_scan": license_scan.oracle_sql()}
