@@ -3,9 +3,10 @@
 1. Every text becomes its set of shingles, as 64-bit hashes. Texts with equal sets form a class, and
    only classes go on. The same pass counts shingles in a sketch of fixed size; its logarithms are
    the frequency classes that every global order starts with, rarest first.
-2. Two sets that reach the threshold share a token among the first few of each (prefix filter).
-   Classes are joined on those tokens of the first order. The join's condition holds the length
-   filter, the positional filter, and a bound on the symmetric difference from 256 parity bits.
+2. Two sets that reach the threshold share a token among the first few of each (prefix filter),
+   and SHARED tokens among as many more. Classes are joined on those tokens of the first order. The
+   join's condition holds the length filter, the positional filter, and a bound on the symmetric
+   difference from 256 parity bits; the pairs' shared tokens are counted afterwards.
 3. Candidates are dealt to groups of bounded size. There each text comes once; a pair must share
    prefix tokens under the other orders too, and what is left is compared exactly.
 4. Only components are wanted. Where a token is in very many classes, a few leaders per token are
@@ -31,6 +32,8 @@ from .common import bitmap_semi_filter, materialize
 CELLS, CHUNK = 1 << 22, 1 << 12
 #: Classes with a token above which leaders are compared first, and leaders per token.
 HOT, LEADERS = 32, 8
+#: Prefixes are longer by so many tokens less one, and candidates share so many of them.
+SHARED = 3
 #: Columns of 64 parity bits each.
 PARITY = ("p0", "p1", "p2", "p3")
 #: Shingles of the texts that one comparison task holds on either side.
@@ -162,7 +165,7 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(d)
-                p = limit.probe(len(h))
+                p = min(limit.probe(len(h)) + SHARED - 1, len(h))
                 token.append(ordered(h, table, 0)[:p].view(np.int64))
                 odd = np.bincount((h >> _U(56)).astype(np.int64), minlength=64 * len(PARITY)).astype(np.uint8) & 1
                 node.append(np.full(p, d)), n.append(np.full(p, len(h))), pos.append(np.arange(p))
@@ -178,7 +181,11 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
 
 
 def fits(limit: Threshold, a: str, b: str):
-    """Length, positional and parity filters for two rows of one token."""
+    """Length, positional and parity filters for two rows of one token.
+
+    Sets that reach the threshold pass them at each of the first SHARED tokens they share, since
+    behind the k-th of these all but k of the needed ones must follow on either side.
+    """
     na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
     p = limit.percent
     need = F.ceil((na + nb) * p / (100 + p) - 1e-6)
@@ -188,17 +195,29 @@ def fits(limit: Threshold, a: str, b: str):
     index = shorter - F.ceil(shorter * (2 * p) / (100 + p) - 1e-6) + 1
     apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITY[1:]), F.bit_count(F.col(f"{a}.{PARITY[0]}").bitwiseXOR(F.col(f"{b}.{PARITY[0]}"))))
     return (
-        (shorter * 100 >= longer * p) & (short_pos < index)
-        & (F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) >= need) & (apart <= na + nb - 2 * need)
+        (shorter * 100 >= longer * p) & (short_pos < index + (SHARED - 1))
+        & (F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) >= need - (SHARED - 1)) & (apart <= na + nb - 2 * need)
     )
 
 
+def within_tokens(first: DataFrame, tokens: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs ``l, r`` that pass the filters at one of ``tokens``, of which each has at most HOT postings.
+
+    The few postings of a token meet in one row, so they are shuffled once and not for a self-join.
+    """
+    met = bitmap_semi_filter(first, "token", tokens).join(tokens, "token")
+    met = met.groupBy("token").agg(F.collect_set(F.struct("node", "n", "pos", *PARITY)).alias("all"))
+    pairs = met.select(F.explode("all").alias("l"), "all").select("l", F.explode("all").alias("r"))
+    return pairs.filter((F.col("l.node") < F.col("r.node")) & fits(limit, "l", "r"))
+
+
 def as_pairs(joined: DataFrame) -> DataFrame:
+    """One row ``a, b, na, nb`` per pair of nodes and token."""
     first = F.col("l.node") < F.col("r.node")
     pick = lambda c, yes, no: F.when(first, F.col(f"{yes}.{c}")).otherwise(F.col(f"{no}.{c}"))
     return joined.select(
         pick("node", "l", "r").alias("a"), pick("node", "r", "l").alias("b"), pick("n", "l", "r").alias("na"), pick("n", "r", "l").alias("nb"),
-    ).distinct()
+    )
 
 
 def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
@@ -300,28 +319,34 @@ def ngram_join(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "d
     classes = df.sparkSession.sparkContext.broadcast(frequency_classes(read))
 
     first = materialize(postings(known, size, limit, classes), "postings")
-    shared = first.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
+    shared = first.groupBy("token").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("c")
+    ).filter("lo <> hi")
+    # A token of two texts only is of use if their lengths agree.
+    shared = shared.filter((F.col("c") > 2) | (F.col("least").cast("long") * 100 >= F.col("most").cast("long") * percent))
     shared = materialize(shared.select("token", (F.col("c") > HOT).alias("hot")), "tokens")
-    lists = bitmap_semi_filter(first, "token", shared).join(shared, "token").dropDuplicates(["token", "node"])
-    lists = materialize(lists, "lists")
-
-    hot = lists.filter("hot")
-    salt = F.pmod(F.xxhash64("node", F.lit("leader")), F.lit(LEADERS))
-    lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", *PARITY)).alias("x")).select("token", "x.*")
     rep_ids = reps.select("node", "id")
-    label = rep_ids.withColumn("comp", F.col("id"))
-    edges = None
-    if hot.head(1):
+    candidates, edges = as_pairs(within_tokens(first, shared.filter("NOT hot").select("token"), limit)), None
+    if shared.filter("hot").head(1):
+        tokens = shared.filter("hot").select("token")
+        hot = materialize(bitmap_semi_filter(first, "token", tokens).join(tokens, "token").dropDuplicates(["token", "node"]), "lists")
+        salt = F.pmod(F.xxhash64("node", F.lit("leader")), F.lit(LEADERS))
+        lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", *PARITY)).alias("x")).select("token", "x.*")
         led = lead.alias("l").join(hot.alias("r"), F.col("l.token") == F.col("r.token")).filter((F.col("l.node") != F.col("r.node")) & fits(limit, "l", "r"))
-        edges = materialize(compare(as_pairs(led), known, rep_ids, size, limit, classes), "leader-links")
+        edges = materialize(compare(as_pairs(led).distinct(), known, rep_ids, size, limit, classes), "leader-links")
         label = rep_ids.join(components(edges, "leader-components"), "id", "left").select("node", F.coalesce("component", "id").alias("comp"))
-    marked = lists.join(label.select("node", "comp"), "node")
-    major = marked.filter("hot").groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-    marked = materialize(marked.join(major, "token", "left").withColumn("rest", F.coalesce(F.col("comp") != F.col("major"), F.lit(True))).drop("major"), "marked")
-    once = (F.col("l.node") < F.col("r.node")) | ~F.col("r.rest")
-    across = marked.filter("rest").alias("l").join(marked.alias("r"), F.col("l.token") == F.col("r.token"))
-    across = across.filter((F.col("l.comp") != F.col("r.comp")) & once & fits(limit, "l", "r"))
-    links = compare(materialize(as_pairs(across), "candidates"), known, rep_ids, size, limit, classes)
+        marked = hot.join(label, "node")
+        major = marked.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
+        marked = materialize(marked.join(major, "token").withColumn("rest", F.col("comp") != F.col("major")).drop("major"), "marked")
+        once = (F.col("l.node") < F.col("r.node")) | ~F.col("r.rest")
+        across = marked.filter("rest").alias("l").join(marked.alias("r"), F.col("l.token") == F.col("r.token"))
+        across = across.filter((F.col("l.comp") != F.col("r.comp")) & once & fits(limit, "l", "r"))
+        known_comp = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+        apart = candidates.join(known_comp("a"), "a").join(known_comp("b"), "b").filter("comp_a <> comp_b")
+        candidates = apart.select("a", "b", "na", "nb").unionByName(as_pairs(across))
+    overlap = F.ceil((F.col("na").cast("long") + F.col("nb")) * percent / (100 + percent) - 1e-6)
+    candidates = candidates.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(F.col("c") >= F.least(F.lit(SHARED), overlap)).drop("c")
+    links = compare(materialize(candidates, "candidates"), known, rep_ids, size, limit, classes)
     if edges is not None:
         links = links.unionByName(edges)
     linked = components(links)
