@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that separate words once A-Z is lower-cased, and a word of the others.
-GAP, IN_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD = IN_WORD + "+"
+GAP, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases by label, in the labels' order.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 #: Share of a template's distinct tokens that a block must hold.
@@ -43,8 +42,25 @@ def needed(size: int, threshold: float) -> int:
     return math.ceil(threshold * size - 1e-9)
 
 
-def phrase_pattern(phrase: str) -> str:
-    return f"(?<!{IN_WORD})" + f"{GAP}+".join(phrase.split()) + f"(?!{IN_WORD})"
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, f"{GAP}+"), "")
+
+
+def places(words: Column, phrase: str) -> Column:
+    """Words at which the phrase starts, from 0; only texts that hold its words are looked through."""
+    parts = phrase.split()
+    held = F.array_contains(words, parts[-1])
+    for part in parts[:-1]:
+        held &= F.array_contains(words, part)
+
+    def starts(i: Column) -> Column:
+        here = F.get(words, i) == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            here &= F.get(words, i + k) == part
+        return here
+
+    found = F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), starts)
+    return F.when(held & (F.size(words) >= len(parts)), F.coalesce(found, F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
 
 
 def token_order(text: DataFrame, templates: dict[str, str]) -> list[str]:
@@ -55,18 +71,17 @@ def token_order(text: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def contained(text: Column, templates: dict[str, str], order: list[str], threshold: float) -> Column:
+def contained(text: Column, words: Column, templates: dict[str, str], order: list[str], threshold: float) -> Column:
     """``array<struct<label, share>>`` of the templates that some block of the text contains."""
     rank = {w: k for k, w in enumerate(order)}
     sets = {label: sorted({rank[w] for w in t.split()}) for label, t in templates.items()}
     prefix = {label: ranks[: len(ranks) - needed(len(ranks), threshold) + 1] for label, ranks in sets.items()}
-    rare = sorted({order[k] for p in prefix.values() for k in p})
-    has_rare = f"(?<!{IN_WORD})(?:{'|'.join(rare)})(?!{IN_WORD})"
+    rare = F.array(*[F.lit(order[k]) for k in sorted({k for p in prefix.values() for k in p})])
     known = F.create_map(*[F.lit(v) for w, k in rank.items() for v in (w, k)])
 
     def ranks_of(block: Column) -> Column:
-        words = F.filter(F.split(block, f"{GAP}+"), lambda w: F.map_contains_key(known, w))
-        return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.element_at(known, w))))
+        listed = F.array_intersect(F.split(block, f"{GAP}+"), F.array(*map(F.lit, order)))
+        return F.array_sort(F.transform(listed, lambda w: F.element_at(known, w)))
 
     def share(ranks: Column, label: str) -> Column:
         of, first = sets[label], prefix[label]
@@ -78,12 +93,12 @@ def contained(text: Column, templates: dict[str, str], order: list[str], thresho
         common = F.when(passes, F.size(F.array_intersect(ranks, F.array(*map(F.lit, of))))).otherwise(0)
         return F.when(common >= need, common / F.lit(float(len(of)))).otherwise(F.lit(0.0))
 
-    blocks = F.filter(F.split(text, "\n"), lambda b: b.rlike(has_rare))
+    blocks = F.filter(F.split(text, "\n"), lambda b: F.arrays_overlap(F.split(b, f"{GAP}+"), rare))
     shares = F.transform(blocks, lambda b: F.transform(
         F.array(ranks_of(b)), lambda r: F.array(*[F.struct(F.lit(label).alias("label"), share(r, label).alias("share")) for label in sets]))[0])
     found = F.filter(F.flatten(shares), lambda s: s["share"] > 0)
     empty = F.filter(F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("share"))), lambda s: F.lit(False))
-    return F.when(text.rlike(has_rare), found).otherwise(empty)
+    return F.when(F.arrays_overlap(words, rare), found).otherwise(empty)
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,26 +114,19 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     templates = TEMPLATES if templates is None else templates
     text = df.select(F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     order = token_order(text, templates)
-    patterns = {label: phrase_pattern(p) for label, p in PHRASES.items()}
-    any_phrase = "(?:" + "|".join(patterns.values()) + ")"
-    places = [F.regexp_count("text", F.lit(p)) for p in patterns.values()]
-    counted = text.select(
-        id_col, "text", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-        *[n.alias(f"n{k}") for k, n in enumerate(places)],
-        contained(F.col("text"), templates, order, threshold).alias("found"),
+    split = text.select(id_col, "text", words_of(F.col("text")).alias("words"))
+    counted = split.select(
+        id_col, F.size("words").cast("long").alias("n_words"), *[places(F.col("words"), p).alias(f"at{k}") for k, p in enumerate(PHRASES.values())],
+        contained(F.col("text"), F.col("words"), templates, order, threshold).alias("found"),
     )
-    n_base = sum((F.col(f"n{k}") for k in range(1, len(places))), F.col("n0"))
-    before = {
-        "first_word": F.regexp_extract("text", f"(?s)^(.*?){any_phrase}", 1),
-        "last_word": F.regexp_extract("text", f"(?s)^(.*){any_phrase}", 1),
-    }
-    base = F.array_compact(F.array(*[F.when(F.col(f"n{k}") > 0, label) for k, label in enumerate(patterns)]))
+    counted = counted.withColumn("at", F.concat(*[f"at{k}" for k in range(len(PHRASES))]))
+    base = F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, label) for k, label in enumerate(PHRASES)]))
     return counted.select(
-        id_col, "n_words", n_base.cast("long").alias("n_base"),
-        *[F.when(n_base > 0, F.regexp_count(head, F.lit(WORD))).cast("long").alias(name) for name, head in before.items()],
+        id_col, "n_words", F.size("at").cast("long").alias("n_base"),
+        F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.transform("found", lambda s: s["label"])))), ",").alias("labels"),
-        F.when(n_base > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("found", lambda s: s["share"])), F.lit(0.0))).alias("score"),
+        F.when(F.size("at") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("found", lambda s: s["share"])), F.lit(0.0))).alias("score"),
     )
 
 
