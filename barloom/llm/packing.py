@@ -13,6 +13,7 @@ then at capacity / 2, / 3, ... as long as keeping a rest in one piece would wast
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +35,10 @@ SMALL = 16
 #: Longer words are encoded each time; entries of a worker's cache before it starts anew.
 LONGEST, CACHE = 40, 400_000
 
-# Fixed value: the published split pattern of this vocabulary.
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+# Fixed value: the published split pattern of this vocabulary; letters first, which begin no other part.
+WORD = rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: The same for lower-cased ASCII.
+ASCII_WORD = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+"
 #: Texts of these characters only are NFC already and lower-cased alike by every Unicode version.
 PLAIN = r"[\u0000-\u00ff\u0152\u0153\u0178\u2010-\u2027\u2030-\u203a\u20ac]*"
 
@@ -66,14 +69,15 @@ class Encoder:
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.words = WordIds(self.tokenizer)
-        added = [t["content"] for t in json.loads(definition)["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
-        self.plain, self.pattern = regex.compile(PLAIN), regex.compile(WORD)
+        self.special = [t["content"] for t in json.loads(definition)["added_tokens"]]
+        self.plain, self.pattern, self.ascii_pattern = regex.compile(PLAIN), regex.compile(WORD), re.compile(ASCII_WORD)
 
     def ids(self, text: str) -> bytes:
-        if not self.plain.fullmatch(text) or self.special.search(text):
+        ascii_only = text.isascii()
+        if not (ascii_only or self.plain.fullmatch(text)) or any(token in text for token in self.special):
             return encode(self.tokenizer, text)
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text.lower())))
+        pattern = self.ascii_pattern if ascii_only else self.pattern
+        return b"".join(map(self.words.__getitem__, pattern.findall(text.lower())))
 
 
 def read_definition(path: str) -> str:
