@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_semi_filter, materialize
@@ -108,7 +108,7 @@ class Threshold:
 
 
 def digests(df: DataFrame, size: int) -> DataFrame:
-    """Rows of kind 0, one per text: id, shingles, digest. Rows of kind 1: parts of each task's sketch."""
+    """Rows of kind 0, one per text: id, key, shingles, digest. Rows of kind 1: parts of each task's sketch."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
@@ -119,15 +119,15 @@ def digests(df: DataFrame, size: int) -> DataFrame:
                 d = xxhash.xxh3_128_digest(h.tobytes())
                 rows.append((len(h), *np.frombuffer(d, dtype=np.int64)))
             out = pd.DataFrame(rows, columns=["n", "node", "check"])
-            out["kind"], out["id"], out["part"] = 0, batch["id"].astype("Int64"), None
-            yield out[["kind", "id", "n", "node", "check", "part"]]
+            out["kind"], out["id"], out["key"], out["part"] = 0, batch["id"].astype("Int64"), batch["key"], None
+            yield out[["kind", "id", "key", "n", "node", "check", "part"]]
         for at in range(0, CELLS, CHUNK):
             part = counts[at : at + CHUNK]
             if part.any():
                 packed = zlib.compress(part.astype(np.uint32).tobytes(), 1)
-                yield pd.DataFrame({"kind": [1], "id": [at // CHUNK], "n": [0], "node": [0], "check": [0], "part": [packed]})
+                yield pd.DataFrame({"kind": [1], "id": [at // CHUNK], "key": [0], "n": [0], "node": [0], "check": [0], "part": [packed]})
 
-    return df.mapInPandas(read, "kind int, id long, n long, node long, check long, part binary")
+    return df.mapInPandas(read, "kind int, id long, key long, n long, node long, check long, part binary")
 
 
 def frequency_classes(parts: DataFrame) -> np.ndarray:
@@ -221,7 +221,7 @@ def as_pairs(joined: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
-    """Links that connect what pairs above the threshold connect, as ids of their classes: ``a, b``.
+    """Links that connect what pairs above the threshold connect, as their classes' nodes: ``a, b``.
 
     Every group links each of its members to the smallest one it is connected with; pairs that are
     connected already need no comparison.
@@ -239,17 +239,16 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
     placed = dealt.join(chunks, "g").withColumns({"ca": part("a"), "cb": part("b")})
     placed = materialize(placed.select("g", F.least("ca", "cb").alias("i"), F.greatest("ca", "cb").alias("j"), "a", "b"), "pairs")
     wanted = placed.select("g", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
-    wanted = materialize(wanted.select("g", "i", "j", "node", "id"), "members")
-    texts = bitmap_semi_filter(docs, "id", wanted).join(wanted, "id").select("g", "i", "j", "node", "id", "text")
+    wanted = materialize(wanted.select("g", "i", "j", "node", "id", "key"), "members")
+    texts = bitmap_semi_filter(docs, "id", wanted).join(wanted, ["id", "key"]).select("g", "i", "j", "node", "text")
 
     def verify(given: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        table, sets, rep = classes.value, {}, {}
-        for node, doc, text in zip(members["node"], members["id"], members["text"], strict=True):
+        table, sets = classes.value, {}
+        for node, text in zip(members["node"], members["text"], strict=True):
             if node not in sets:
                 h = shingles(text, size)
                 orders = [ordered(h, table, k) for k in range(1, len(ORDERS))]
                 sets[node] = h, [frozenset(o[: limit.index(len(h))].tolist()) for o in orders], [frozenset(o[: limit.probe(len(h))].tolist()) for o in orders]
-                rep[node] = doc
         root = {node: node for node in sets}
 
         def find(node: int) -> int:
@@ -265,9 +264,9 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
                 continue
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             if int((y[at] == x).sum()) >= limit.overlap(len(x), len(y)):
-                low, high = sorted((u, v), key=rep.get)
+                low, high = sorted((u, v))
                 root[high] = low
-        out = [(rep[top], rep[node]) for node in root if (top := find(node)) != node]
+        out = [(top, node) for node in root if (top := find(node)) != node]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     keys = ["g", "i", "j"]
@@ -297,23 +296,25 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         current = materialize(stars.filter("lo <> hi").distinct(), name)
 
 
-def ngram_join(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id`` of every text under links of Jaccard similarity.
+def text_key(column: str) -> Column:
+    """With its id, what tells a row's text from other texts of a repeated id."""
+    return F.xxhash64(column)
 
-    Words are runs of non-space characters with A-Z lower-cased; a set holds the distinct shingles
-    of ``size`` words, or the whole sequence if it is shorter. Two texts link when
-    100 * intersection >= percent * union. ``component_id`` is the smallest id reachable by links,
-    the text's own included. A null text or one without words has no shingle and links with
-    nothing. A row with a null id takes no part: its component is null. Repeated ids are allowed;
-    each row is linked by its own text. Other columns are ignored; an empty table stays empty.
+
+def linked_rows(df: DataFrame, percent: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, key, n, linked, component_id`` of every row; ``key`` is its text's ``text_key``.
+
+    ``linked`` is the same for the rows that links connect, also where ids are repeated; it is null
+    for a row without an id or a shingle.
     """
     limit = Threshold(percent)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("key"))
     known = docs.filter(F.col("id").isNotNull())
     read = materialize(digests(docs, size), "digests")
-    rows = read.filter("kind = 0").select("id", "n", "node", "check")
+    rows = read.filter("kind = 0").select("id", "key", "n", "node", "check")
     named = rows.filter("id IS NOT NULL AND n > 0")
-    reps = materialize(named.groupBy("node", "check").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes")
+    least = named.groupBy("node", "check").agg(F.min(F.struct("id", "key")).alias("least"))
+    reps = materialize(least.select("node", "check", "least.*"), "classes")
     if reps.groupBy("node").count().filter("count > 1").head(1):
         raise ValueError("two different texts have one digest")
     classes = df.sparkSession.sparkContext.broadcast(frequency_classes(read))
@@ -325,7 +326,7 @@ def ngram_join(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "d
     # A token of two texts only is of use if their lengths agree.
     shared = shared.filter((F.col("c") > 2) | (F.col("least").cast("long") * 100 >= F.col("most").cast("long") * percent))
     shared = materialize(shared.select("token", (F.col("c") > HOT).alias("hot")), "tokens")
-    rep_ids = reps.select("node", "id")
+    rep_ids = reps.select("node", "id", "key")
     candidates, edges = as_pairs(within_tokens(first, shared.filter("NOT hot").select("token"), limit)), None
     if shared.filter("hot").head(1):
         tokens = shared.filter("hot").select("token")
@@ -334,7 +335,7 @@ def ngram_join(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "d
         lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", *PARITY)).alias("x")).select("token", "x.*")
         led = lead.alias("l").join(hot.alias("r"), F.col("l.token") == F.col("r.token")).filter((F.col("l.node") != F.col("r.node")) & fits(limit, "l", "r"))
         edges = materialize(compare(as_pairs(led).distinct(), known, rep_ids, size, limit, classes), "leader-links")
-        label = rep_ids.join(components(edges, "leader-components"), "id", "left").select("node", F.coalesce("component", "id").alias("comp"))
+        label = reps.join(components(edges, "leader-components").withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
         marked = hot.join(label, "node")
         major = marked.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
         marked = materialize(marked.join(major, "token").withColumn("rest", F.col("comp") != F.col("major")).drop("major"), "marked")
@@ -349,8 +350,24 @@ def ngram_join(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "d
     links = compare(materialize(candidates, "candidates"), known, rep_ids, size, limit, classes)
     if edges is not None:
         links = links.unionByName(edges)
-    linked = components(links)
-    named_classes = reps.join(linked, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
-    out = rows.filter("id IS NOT NULL AND n > 0").join(named_classes, "node").select("id", "n", "component_id")
-    alone = rows.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    linked = components(links).withColumnRenamed("id", "node")
+    smallest = linked.join(rep_ids, "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    named_classes = reps.join(linked.join(smallest, "component"), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("linked"), F.coalesce("component_id", "id").alias("component_id"))
+    out = named.join(named_classes, "node").select("id", "key", "n", "linked", "component_id")
+    alone = rows.filter("id IS NULL OR n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("linked"), F.col("id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def ngram_join(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_shingles, component_id`` of every text under links of Jaccard similarity.
+
+    Words are runs of non-space characters with A-Z lower-cased; a set holds the distinct shingles
+    of ``size`` words, or the whole sequence if it is shorter. Two texts link when
+    100 * intersection >= percent * union. ``component_id`` is the smallest id reachable by links,
+    the text's own included. A null text or one without words has no shingle and links with
+    nothing. A row with a null id takes no part: its component is null. Repeated ids are allowed;
+    each row is linked by its own text, never by its id. Other columns are ignored; an empty table stays empty.
+    """
+    rows = linked_rows(df, percent, size, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

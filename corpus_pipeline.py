@@ -35,12 +35,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows without an id stay."""
+    """One document of each group of near copies, the one with the smallest id; rows without an id stay.
+
+    Where ids are repeated, a row goes only when its own text is a copy of one that stays.
+    """
     text_batches(spark)
-    joined = ngram_join.ngram_join(docs, percent=90, size=3)
-    kept = joined.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = ngram_join.linked_rows(docs, percent=90, size=3).filter("id IS NOT NULL")
+    first = rows.filter("linked IS NOT NULL").groupBy("linked").agg(F.min(F.struct("id", "key")).alias("first")).select("first.*")
+    kept = first.unionByName(rows.filter("linked IS NULL").select("id", "key"))
+    keyed = docs.withColumn("__key", ngram_join.text_key("text"))
+    found = keyed.join(kept, (F.col("doc_id") == F.col("id")) & (F.col("__key") == F.col("key")), "left_semi")
+    return found.dropDuplicates(["doc_id", "__key"]).drop("__key").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -357,3 +357,23 @@ def test_pipeline_stages(spark, odd, labels):
     repeated = p.drop_near_duplicates(spark, odd, SF)
     assert repeated.columns == odd.columns and repeated.filter("doc_id = 4").count() == 1 and repeated.filter("doc_id IS NULL").count() == 2
     assert p.run(spark, SF).count() > 0
+
+
+def test_repeated_ids_are_linked_by_their_own_texts(spark):
+    """Different texts share id 5; one is a copy of id 3's text, one of id 9's, one of none."""
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{c}{k}" for k in range(80)) for c in "abc")
+    rows = [(5, f"{one} end"), (5, two), (5, three), (5, three), (3, one), (9, f"{two} end"), (5, ""), (5, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    linked = {(r.id, r.n, r.key): r for r in ngram_join.linked_rows(df, 90, 3).collect()}
+    key = {r.text: r.k for r in df.select("text", ngram_join.text_key("text").alias("k")).collect()}
+    of = lambda doc, n, text: linked[doc, n, key[text]]
+    assert of(5, 79, f"{one} end").component_id == of(3, 78, one).component_id == 3
+    assert of(5, 79, f"{one} end").linked == of(3, 78, one).linked
+    assert of(5, 78, two).component_id == of(9, 79, f"{two} end").component_id == of(5, 78, three).component_id == 5
+    assert of(5, 78, two).linked == of(9, 79, f"{two} end").linked != of(5, 78, three).linked
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df).collect())
+    assert got == [(3, 78, 3), (5, 0, 5), (5, 0, 5), (5, 78, 5), (5, 78, 5), (5, 78, 5), (5, 79, 3), (9, 79, 5)]
+    kept = sorted(tuple(r) for r in p.drop_near_duplicates(spark, df, SF).collect())
+    assert kept == sorted([(3, one), (5, two), (5, three), (5, ""), (5, " ")])
