@@ -23,9 +23,10 @@ LEAF = 128
 SLACK = 1e-9
 
 
-def distances(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
+def distances(matrix: np.ndarray, query: np.ndarray, beyond: float = 0.0) -> np.ndarray:
+    """Distances to the query; ``beyond`` is the sum of squares of its components past the matrix."""
     gap = matrix - query
-    return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return np.sqrt(np.einsum("ij,ij->i", gap, gap) + beyond)
 
 
 class VantageTree:
@@ -61,6 +62,8 @@ class VantageTree:
         return stack_at
 
     def nearest(self, query_id: int, query: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        width = self.x.shape[1]
+        beyond, query = float((query[width:] ** 2).sum()), padded(query, width)
         best_ids, best = np.empty(0, dtype=np.int64), np.empty(0)
         bound = np.inf
         heap = [(0.0, self.root)]
@@ -71,7 +74,7 @@ class VantageTree:
             node = self.nodes[at]
             if isinstance(node[0], int):
                 part = slice(*node)
-                d, ids = distances(self.x[part], query), self.ids[part]
+                d, ids = distances(self.x[part], query, beyond), self.ids[part]
                 keep = (ids != query_id) & (d <= bound)
                 if keep.any():
                     d, ids = np.concatenate([best, d[keep]]), np.concatenate([best_ids, ids[keep]])
@@ -80,7 +83,7 @@ class VantageTree:
                     bound = best[-1] if len(best) == k else np.inf
                 continue
             vantage, children = node
-            to = float(np.sqrt(((query - vantage) ** 2).sum()))
+            to = float(np.sqrt(((query - vantage) ** 2).sum() + beyond))
             for low, high, child in children:
                 heapq.heappush(heap, (max(gap, low - to, to - high), child))
         return best_ids, best
@@ -101,5 +104,5 @@ def nearest_neighbours(df: DataFrame, query_modulus: int, k: int, factor: float,
         raise ValueError("factor lies between 0 and 1")
     vectors = finite_vectors(df, id_col, vec_col).filter(F.exists("v", lambda x: x != 0))
     queries = F.pmod("id", F.lit(query_modulus)) == 0
-    find = lambda tree, query_id, query, k: tree.nearest(query_id, padded(query, tree.x.shape[1]), k, factor)
+    find = lambda tree, query_id, query, k: tree.nearest(query_id, query, k, factor)
     return search(vectors, queries, k, VantageTree, find, "double", largest=False, **sizes)

@@ -377,3 +377,15 @@ def test_repeated_ids_are_linked_by_their_own_texts(spark):
     assert got == [(3, 78, 3), (5, 0, 5), (5, 0, 5), (5, 78, 5), (5, 78, 5), (5, 78, 5), (5, 79, 3), (9, 79, 5)]
     kept = sorted(tuple(r) for r in p.drop_near_duplicates(spark, df, SF).collect())
     assert kept == sorted([(3, one), (5, two), (5, three), (5, ""), (5, " ")])
+
+
+def test_tree_counts_components_past_a_shards_width(spark):
+    """The two long vectors lie in one shard or two; the short ones of other shards are all narrower."""
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(v) for v in rng.normal(0, 1, 9 if k in (0, 7) else 3 + k % 3)]) for k in range(300)]
+    wide = {k: np.pad(np.asarray(v, dtype=np.float32).astype(float), (0, 9 - len(v))) for k, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vptree_ann.nearest_neighbours(df, 50, 10, 1.0, shard_rows=20, block_queries=2).collect()}
+    for q in range(0, 300, 50):
+        for rank, (d, k) in enumerate(sorted((math.dist(wide[q], wide[k]), k) for k in wide if k != q)[:10], 1):
+            assert got[q, rank][0] == k and abs(got[q, rank][1] - d) < 1e-9
