@@ -389,3 +389,9 @@ def test_tree_counts_components_past_a_shards_width(spark):
     for q in range(0, 300, 50):
         for rank, (d, k) in enumerate(sorted((math.dist(wide[q], wide[k]), k) for k in wide if k != q)[:10], 1):
             assert got[q, rank][0] == k and abs(got[q, rank][1] - d) < 1e-9
+
+
+def test_folding_inside_long_texts():
+    found, around = toxicity.Lexicon({"idiot": 3.0}).automaton(), "plain words go on " * 2000
+    for word in ("1d10t", "іdiot", "IDIOT$$$"):
+        assert toxicity.hits(found, f"{around}{word} {around}")[0] == 3.0, word
