@@ -1,12 +1,14 @@
 """License scan: phrases anywhere, and text blocks that contain a license template.
 
-The second part is an exact set-similarity join between text blocks (lines) and a fixed list of
-templates. Tokens are ordered by their frequency in the corpus, rarest first. A template needs a
-number of its distinct tokens in a block; so one of its first ``size - needed + 1`` tokens must be
-there (prefix filter), the block must have enough template tokens (length filter), and what follows
-the first shared token on either side must suffice (positional filter). Only then are the sets
-compared. Everything is a DataFrame expression within one row: blocks never leave their document,
-so nothing is shuffled but the token frequencies, one row per token of the templates.
+The second part is an exact set-similarity join between text blocks and a fixed list of templates.
+A template's blocks are the windows of as many words as it has itself, wherever lines and
+paragraphs break. Tokens are ordered by their frequency in the corpus, rarest first. A block needs a
+number of the template's distinct tokens; so the text must have that many at all (length filter),
+one of the template's first ``size - needed + 1`` tokens must be in the block (prefix filter), and
+the words on either side of that token that a block could reach must hold enough tokens (positional
+filter). Only then are the windows around it compared. Everything is a DataFrame expression within
+one row: blocks never leave their document, so nothing is shuffled but the token frequencies, one
+row per token of the templates.
 """
 
 from __future__ import annotations
@@ -18,23 +20,32 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words once A-Z is lower-cased, and a word of the others.
 GAP, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Phrases by label, in the labels' order.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 #: Share of a template's distinct tokens that a block must hold.
 THRESHOLD = 0.9
 
-# Opening words of public license notices, by label.
+# Words of public license texts and notices, by label.
 TEMPLATES = {
+    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "apache-2.0-grant": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-4.0-notice": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-4.0-notice": "licensed under cc by nc 4 0",
+    "gpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     "gpl-3.0-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-3.0-notice": "this work is licensed under the gnu general public license version 3",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-notice": "released under the mit license",
     "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
 }
 
 
@@ -71,34 +82,37 @@ def token_order(text: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def contained(text: Column, words: Column, templates: dict[str, str], order: list[str], threshold: float) -> Column:
+def contained(words: Column, templates: dict[str, str], order: list[str], threshold: float) -> Column:
     """``array<struct<label, share>>`` of the templates that some block of the text contains."""
     rank = {w: k for k, w in enumerate(order)}
-    sets = {label: sorted({rank[w] for w in t.split()}) for label, t in templates.items()}
-    prefix = {label: ranks[: len(ranks) - needed(len(ranks), threshold) + 1] for label, ranks in sets.items()}
-    rare = F.array(*[F.lit(order[k]) for k in sorted({k for p in prefix.values() for k in p})])
-    known = F.create_map(*[F.lit(v) for w, k in rank.items() for v in (w, k)])
-
-    def ranks_of(block: Column) -> Column:
-        listed = F.array_intersect(F.split(block, f"{GAP}+"), F.array(*map(F.lit, order)))
-        return F.array_sort(F.transform(listed, lambda w: F.element_at(known, w)))
-
-    def share(ranks: Column, label: str) -> Column:
-        of, first = sets[label], prefix[label]
-        need, size = needed(len(of), threshold), F.size(ranks)
-        shared = F.array_min(F.array_intersect(ranks, F.array(*map(F.lit, first))))
-        behind_block = size - F.array_position(ranks, shared) + 1
-        behind_template = F.lit(len(of)) - F.array_position(F.array(*map(F.lit, of)), shared) + 1
-        passes = (size >= need) & shared.isNotNull() & (F.least(behind_block, behind_template) >= need)
-        common = F.when(passes, F.size(F.array_intersect(ranks, F.array(*map(F.lit, of))))).otherwise(0)
-        return F.when(common >= need, common / F.lit(float(len(of)))).otherwise(F.lit(0.0))
-
-    blocks = F.filter(F.split(text, "\n"), lambda b: F.arrays_overlap(F.split(b, f"{GAP}+"), rare))
-    shares = F.transform(blocks, lambda b: F.transform(
-        F.array(ranks_of(b)), lambda r: F.array(*[F.struct(F.lit(label).alias("label"), share(r, label).alias("share")) for label in sets]))[0])
-    found = F.filter(F.flatten(shares), lambda s: s["share"] > 0)
+    sets = {label: sorted({*t.split()}, key=rank.get) for label, t in templates.items()}
+    prefix = {label: tokens[: len(tokens) - needed(len(tokens), threshold) + 1] for label, tokens in sets.items()}
+    listed = lambda tokens: F.array(*map(F.lit, tokens))
+
+    def share(label: str) -> Column:
+        of, long = listed(sets[label]), len(templates[label].split())
+        need = needed(len(sets[label]), threshold)
+        common = lambda block: F.size(F.array_intersect(block, of))
+
+        def around(place: Column) -> Column:
+            first = F.greatest(place - (long - 1), F.lit(0))
+            reach = F.slice(words, first + 1, place - first + long)
+            windows = F.transform(F.sequence(first, place), lambda i: common(F.slice(words, i + 1, F.lit(long))))
+            return F.when(common(reach) >= need, F.array_max(windows)).otherwise(0)
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(listed(prefix[label]), F.get(words, i)))
+        most = F.when(common(words) >= need, F.array_max(F.transform(places, around))).otherwise(0)
+        return F.when(most >= need, most / F.lit(float(len(sets[label])))).otherwise(F.lit(0.0))
+
+    shares = F.array(*[F.struct(F.lit(label).alias("label"), share(label).alias("share")) for label in sets])
     empty = F.filter(F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("share"))), lambda s: F.lit(False))
-    return F.when(F.arrays_overlap(words, rare), found).otherwise(empty)
+    rare = sorted({w for tokens in prefix.values() for w in tokens}, key=rank.get)
+    return F.when(F.arrays_overlap(words, listed(rare)), F.filter(shares, lambda s: s["share"] > 0)).otherwise(empty)
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case. Other letters don't matter here, but for the Kelvin sign, which ``lower`` turns into a k."""
+    return F.when(text.contains("\u212a"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -106,18 +120,19 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``n_base`` counts the places of PHRASES, ``first_word`` and ``last_word`` are the smallest and
     largest word they start at (null without any), ``base_labels`` their labels. ``labels`` adds
-    those of the templates that some line contains to at least ``threshold``. ``score`` is the
-    largest share contained, 1 with a phrase, 0 with nothing. A null text counts as empty: no
+    those of the templates that some block contains to at least ``threshold``; a template's blocks
+    are all windows of as many words as it has, so line breaks don't matter, and a text shorter than
+    that is one block. ``score`` is the largest share contained, 1 with a phrase, 0 with nothing. A null text counts as empty: no
     words, no labels, score 0. Ids pass through, null or repeated; other columns are ignored; an
     empty table gives an empty result.
     """
     templates = TEMPLATES if templates is None else templates
-    text = df.select(F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    text = df.select(F.col(id_col), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     order = token_order(text, templates)
-    split = text.select(id_col, "text", words_of(F.col("text")).alias("words"))
+    split = text.select(id_col, words_of(F.col("text")).alias("words"))
     counted = split.select(
         id_col, F.size("words").cast("long").alias("n_words"), *[places(F.col("words"), p).alias(f"at{k}") for k, p in enumerate(PHRASES.values())],
-        contained(F.col("text"), F.col("words"), templates, order, threshold).alias("found"),
+        contained(F.col("words"), templates, order, threshold).alias("found"),
     )
     counted = counted.withColumn("at", F.concat(*[f"at{k}" for k in range(len(PHRASES))]))
     base = F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, label) for k, label in enumerate(PHRASES)]))
@@ -131,15 +146,17 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def oracle_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for ``scan_licenses`` over ``documents``, comparing every line with every template."""
+    """DuckDB SQL for ``scan_licenses`` over ``documents``: every window that starts with a token of the template is compared.
+
+    A window with the most tokens can be moved on to its first one without losing any.
+    """
     templates = TEMPLATES if templates is None else templates
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = " UNION ALL ".join(
         f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(p.split())) + ")) AS place FROM words"
         for label, p in PHRASES.items()
     )
-    rows = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))}, {needed(len(set(t.split())), threshold)})" for label, t in templates.items())
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    rows = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))}, {needed(len(set(t.split())), threshold)}, {len(t.split())})" for label, t in templates.items())
     return f"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -147,12 +164,11 @@ def oracle_sql(templates: dict[str, str] | None = None, threshold: float = THRES
     places AS ({phrases}),
     base AS (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word,
                     list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY r),
-    templates(label, tokens, need) AS (VALUES {rows}),
-    blocks AS (SELECT r, list_distinct(string_split_regex(b, '{gap}')) AS b
-               FROM (SELECT r, unnest(string_split(t, chr(10))) AS b FROM docs)),
-    found AS (SELECT r, list(label) AS labels, max(common / len(tokens)) AS score
-              FROM (SELECT r, label, tokens, need, len(list_intersect(b, tokens)) AS common FROM blocks, templates)
-              WHERE common >= need GROUP BY r)
+    templates(label, tokens, need, long) AS (VALUES {rows}),
+    blocks AS (SELECT r, label, tokens, need, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(tokens, w[i])),
+                      lambda i: len(list_intersect(w[i : i + long - 1], tokens)))) AS common
+               FROM words, templates WHERE len(list_intersect(w, tokens)) >= need),
+    found AS (SELECT r, list(label) AS labels, max(common / len(tokens)) AS score FROM blocks WHERE common >= need GROUP BY r)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base,
            CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
            coalesce(array_to_string(base.labels, ','), '') AS base_labels,
