@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,12 +28,15 @@ def text_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local tests, a
-    temporary folder is made, set as the session's checkpoint directory and removed at exit.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and the session is local,
+    as in tests, a temporary folder is made, set as the checkpoint directory and removed at exit;
+    on a cluster that would be a folder of one machine, so it is an error.
     """
     context = spark.sparkContext
     given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="barloom-")
         atexit.register(shutil.rmtree, given, ignore_errors=True)
         context.setCheckpointDir(given)
@@ -44,11 +48,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
     This cuts the lineage: the rows survive the loss of any executor and are computed once.
+    ``discard`` removes them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._barloom_folder = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove what ``materialize`` wrote, once nothing reads it any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._barloom_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bitmap_semi_filter(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:

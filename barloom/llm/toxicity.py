@@ -3,34 +3,42 @@
 Texts are folded first: lower case, look-alike letters of other alphabets, and digits or symbols
 that stand for letters inside a word. Patterns are beginnings of words or whole words; each has a
 weight, the log ratio of how often toxic and clean training documents hold it. A hit inside an
-exception phrase doesn't count. The sum of weights, for itself and by length, gives the score.
+exception phrase doesn't count; besides the given ones, those are the phrases of a hit word and a
+word next to it that clean documents hold. The sum of weights, for itself and by length, gives the
+score.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, materialize, sampled
+from .common import crc_fold, discard, materialize, sampled
 from .quality_crf import train_labels
 
-#: Training documents at most, and candidate patterns at most that reach the driver.
-SAMPLE_DOCS, CANDIDATES = 12_000, 50_000
-#: Shortest and longest beginning of a word in the lexicon.
-SHORTEST, LONGEST = 4, 12
+#: Training documents at most.
+SAMPLE_DOCS = 12_000
+#: Shortest and longest beginning of a word in the lexicon, and longest whole word. Longer words can
+#: be hit by their beginnings only.
+SHORTEST, LONGEST, LONGEST_WORD = 4, 12, 48
 #: A pattern needs so many toxic documents, and to be so many times likelier there.
 LEAST_DOCS, LEAST_RATIO = 4, 20.0
+#: A phrase around a hit is an exception if so many clean documents hold it, and if it is so many
+#: times likelier there.
+EXCEPTION_DOCS, EXCEPTION_RATIO = 4, 4.0
 #: Marks a whole word among patterns.
 END = " "
-#: Phrases in which a listed word is harmless.
+#: Phrases in which a listed word is harmless; more are learned from clean documents.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "idiot proof", "idiot light", "pond scum")
 
 # Letters of other alphabets that look like Latin ones, and what stands for letters inside a word.
@@ -42,6 +50,7 @@ LEET = str.maketrans("013457@$", "oieastas")
 _LEET_INSIDE = re.compile(r"[^\W_]*[013457@$][^\W_]*(?:[@$]+[^\W_]+)*")
 _HAS_LEET = re.compile(r"[^\W\d_][013457@$]+[^\W\d_]|(?<![^\W_])[013457@$]+[^\W\d_]{2}")
 _WORD = re.compile(r"[^\W_]+")
+_LAST_WORD, _NEXT_WORD = re.compile(r"[^\W_]+ $"), re.compile(r" [^\W_]+")
 
 
 def fold(text: str) -> str:
@@ -79,11 +88,8 @@ class Lexicon:
         return found
 
 
-def hits(automaton: ahocorasick.Automaton, text: str) -> tuple[float, int]:
-    """Sum of the weights of hits, the best one at each word, and the number of words hit."""
-    if not len(automaton):
-        return 0.0, 0
-    folded = fold(text)
+def word_hits(automaton: ahocorasick.Automaton, folded: str) -> dict[int, float]:
+    """The best weight at each start of a word that is hit outside all exception phrases."""
     best: dict[int, float] = {}
     excused: list[tuple[int, int]] = []
     last = len(folded) - 1
@@ -99,10 +105,26 @@ def hits(automaton: ahocorasick.Automaton, text: str) -> tuple[float, int]:
                 best[start] = max(weight, best.get(start, weight))
             else:
                 excused.append((start, end))
-    for first, final in excused:
-        for start in [s for s in best if first <= s <= final]:
-            del best[start]
-    return sum(best.values()), len(best)
+    if not excused:
+        return best
+    # One sweep over phrases and hits in the text's order: a hit is excused while a phrase reaches it.
+    excused.sort()
+    kept, at, reach = {}, 0, -1
+    for start in sorted(best):
+        while at < len(excused) and excused[at][0] <= start:
+            reach = max(reach, excused[at][1])
+            at += 1
+        if start > reach:
+            kept[start] = best[start]
+    return kept
+
+
+def hits(automaton: ahocorasick.Automaton, text: str) -> tuple[float, int]:
+    """Sum of the weights of hits, the best one at each word, and the number of words hit."""
+    if not len(automaton):
+        return 0.0, 0
+    best = word_hits(automaton, fold(text))
+    return math.fsum(best.values()), len(best)
 
 
 def features(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, float]:
@@ -118,39 +140,59 @@ def candidates(text: str) -> set[str]:
     out: set[str] = set()
     for word in set(_WORD.findall(fold(text))):
         out.update(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1))
-        if 2 < len(word) <= 2 * LONGEST:
+        if 2 < len(word) <= LONGEST_WORD:
             out.add(word + END)
     return out
 
 
-def learn(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the shortest patterns that tell toxic documents, from ``rows(y, text)``.
+def phrases(automaton: ahocorasick.Automaton, text: str) -> set[str]:
+    """Each hit word with the word before it and with the word after it, one space between."""
+    folded, out = fold(text), set()
+    for start in word_hits(automaton, folded):
+        word = _WORD.match(folded, start).group()
+        end = start + len(word)
+        before = _LAST_WORD.search(folded[max(0, start - LONGEST_WORD) : start])
+        after = _NEXT_WORD.match(folded, end)
+        if before:
+            out.add(before.group() + word)
+        if after and len(after.group()) <= LONGEST_WORD:
+            out.add(word + after.group())
+    return out
 
-    First the patterns that enough toxic documents hold, then how many clean ones hold those. Each
-    task counts for itself; only its sums are shuffled.
+
+def document_counts(rows: DataFrame, listed) -> DataFrame:
+    """``item, half, y, n``: how many documents of ``rows(y, text, half)`` hold each of ``listed()(text)``.
+
+    Each task counts for itself; only its sums are shuffled.
     """
-    def count(wanted: frozenset[str] | None):
-        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: Counter = Counter()
-            for batch in batches:
-                for text in batch["text"]:
-                    if text:
-                        seen.update(candidates(text) if wanted is None else candidates(text) & wanted)
-            names = list(seen)
-            for at in range(0, len(names), 20_000):
-                part = names[at : at + 20_000]
-                yield pd.DataFrame({"pattern": part, "n": [seen[n] for n in part]})
-
-        return tally
-
-    def sums(of: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-        return of.select("text").mapInPandas(count(wanted), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-
-    held = sums(rows.filter("y > 0"), None).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "pattern").limit(CANDIDATES)
-    t = {r.pattern: r.n for r in held.collect()}
-    c = {r.pattern: r.n for r in sums(rows.filter("y <= 0"), frozenset(t)).collect()} if t else {}
-    found = {p: float(np.log(((n + 0.5) / (toxic + 1)) / ((c.get(p, 0) + 0.5) / (clean + 1)))) for p, n in t.items()}
-    found = {p: w for p, w in found.items() if w >= np.log(LEAST_RATIO)}
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, seen = listed(), Counter()
+        for batch in batches:
+            for y, half, text in zip(batch["y"], batch["half"], batch["text"], strict=True):
+                if text:
+                    seen.update((item, half, y > 0) for item in find(text))
+        keys = list(seen)
+        for at in range(0, len(keys), 20_000):
+            part = keys[at : at + 20_000]
+            out = pd.DataFrame(part, columns=["item", "half", "y"])
+            out["n"] = [seen[k] for k in part]
+            yield out
+
+    schema = "item string, half boolean, y boolean, n long"
+    return rows.mapInPandas(tally, schema).groupBy("item").agg(*[
+        F.sum(F.when((F.col("half") == half) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"{'toxic' if y else 'clean'}_{int(half)}")
+        for half in (False, True) for y in (False, True)])
+
+
+def log_ratio(toxic: Column, clean: Column, sizes: tuple[int, int]) -> Column:
+    """How much likelier a toxic document holds an item than a clean one; ``sizes`` of toxic and clean documents."""
+    return F.log(((toxic + 0.5) / (sizes[0] + 1)) / ((clean + 0.5) / (sizes[1] + 1)))
+
+
+def learn(counts: DataFrame, toxic: Column, clean: Column, sizes: tuple[int, int], least: int) -> dict[str, float]:
+    """Weights of the shortest patterns that tell toxic documents. Only telling ones reach the driver."""
+    weighed = counts.filter(toxic >= least).select("item", log_ratio(toxic, clean, sizes).alias("w"))
+    found = {r.item: r.w for r in weighed.filter(F.col("w") >= math.log(LEAST_RATIO)).collect()}
     kept: dict[str, float] = {}
     for pattern in sorted(found, key=lambda p: (len(p), p)):
         body = pattern.rstrip(END)
@@ -175,8 +217,8 @@ def fit_scores(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, exceptions: tuple[str, ...] = EXCEPTIONS, sample_docs: int = SAMPLE_DOCS) -> Lexicon:
     """A lexicon and its score from at most ``sample_docs`` labelled documents.
 
-    The lexicon is counted on half of them and the score is fitted on the other half, so that
-    patterns which only fit their own documents don't lift it.
+    The lexicon is counted on all of them. For the score two more are counted on a half each and
+    measured on the other half, so that patterns which only fit their own documents don't lift it.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("__y"))
     known = sampled(known, known, id_col, sample_docs)
@@ -184,18 +226,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     half = F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2)) == 0
     rows = text.join(F.broadcast(known), id_col).select(F.col("__y").alias("y"), F.col("__text").alias("text"), half.alias("half"))
     rows = materialize(rows, "toxicity-sample")
-    sizes = {r.y > 0: r.n for r in known.groupBy("__y").agg(F.count("*").alias("n")).withColumnRenamed("__y", "y").collect()}
-    if len(sizes) < 2:
-        return Lexicon({}, exceptions, np.array([0.0, 0.0, 6.0 if sizes.get(True) else -6.0]))
-    lexicon = Lexicon(learn(rows.filter("half"), sizes[True] // 2, sizes[False] // 2), exceptions)
+    size = {(r.half, r.toxic): r.n for r in rows.groupBy("half", (F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    of = lambda *halves: tuple(sum(size.get((h, y), 0) for h in halves) for y in (True, False))
+    if 0 in of(True, False):
+        discard(rows)
+        return Lexicon({}, exceptions, np.array([0.0, 0.0, 6.0 if of(True, False)[0] else -6.0]))
+    counts = materialize(document_counts(rows, lambda: candidates), "toxicity-counts")
+    sums = {name: [F.col(f"{name}_0"), F.col(f"{name}_1")] for name in ("toxic", "clean")}
+    lexicon = Lexicon(learn(counts, sum(sums["toxic"][1:], sums["toxic"][0]), sum(sums["clean"][1:], sums["clean"][0]), of(True, False), LEAST_DOCS), exceptions)
+    halves = [learn(counts, sums["toxic"][h], sums["clean"][h], of(bool(h)), LEAST_DOCS) for h in (0, 1)]
+
+    around = document_counts(rows, lambda: partial(phrases, lexicon.automaton())) if lexicon.weights else None
+    if around is not None:
+        toxic, clean = sum(sums["toxic"][1:], sums["toxic"][0]), sum(sums["clean"][1:], sums["clean"][0])
+        harmless = around.filter((clean >= EXCEPTION_DOCS) & (log_ratio(toxic, clean, of(True, False)) <= -math.log(EXCEPTION_RATIO)))
+        lexicon.exceptions = (*exceptions, *sorted(r["item"] for r in harmless.select("item").collect()))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = lexicon.automaton()
+        automata = [Lexicon(halves[h], lexicon.exceptions).automaton() for h in (0, 1)]
         for batch in batches:
-            x = [features(automaton, t) for t in batch["text"]]
+            x = [features(automata[not h], t) for h, t in zip(batch["half"], batch["text"], strict=True)]
             yield pd.DataFrame({"y": batch["y"], "a": [v[0] for v in x], "b": [v[1] for v in x]})
 
-    got = rows.filter(~F.col("half")).mapInPandas(measure, "y double, a double, b double").toPandas()
+    got = rows.mapInPandas(measure, "y double, a double, b double").toPandas()
+    discard(rows, counts)
     lexicon.slopes = fit_scores(got[["a", "b"]].to_numpy(), (got["y"] > 0).to_numpy(dtype=np.float64))
     return lexicon
 
