@@ -67,17 +67,18 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: i
                 total = totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 for hashed in grams(text):
                     total += np.bincount(hashed, minlength=BUCKETS)
-        if totals:
-            yield pd.DataFrame({"lang": list(totals), "counts": [t.tobytes() for t in totals.values()]})
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in rows["counts"])
-        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "counts": [total.tobytes()]})
+        for lang, total in totals.items():
+            held = np.flatnonzero(total)
+            yield pd.DataFrame({"lang": lang, "bucket": held.astype(np.int32), "n": total[held]})
 
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = sampled(known, known, id_col, sample_docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    schema = "lang string, counts binary"
-    per_lang = {r.lang: np.frombuffer(r.counts, dtype=np.int64) for r in rows.mapInPandas(count, schema).groupBy("lang").applyInPandas(merge, schema).collect()}
+    # Tasks' counts are added up by Spark; the driver gets one number per language and bucket.
+    sums = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    per_lang = {}
+    for lang, part in sums.groupby("lang"):
+        per_lang[lang] = np.zeros(BUCKETS, dtype=np.int64)
+        per_lang[lang][part["bucket"]] = part["n"]
     languages = sorted(per_lang)
     code = codewords(len(languages))
     if code.size == 0:
