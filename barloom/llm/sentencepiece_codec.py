@@ -1,30 +1,31 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton and one pass of dynamic programming.
 
 The automaton holds all pieces. At each position its output links give every piece that ends there,
-and each tries to relax the best segmentation of the text up to that position. What "best" means
-depends on the model:
+and each tries to relax the best segmentation of the text up to that position: the largest sum of
+piece scores, the usual Viterbi. Its ids are ``best_ids``.
 
-* unigram: the largest sum of piece scores, the usual Viterbi;
-* BPE: the scores are merge ranks, whose sum says nothing about what merging yields. A piece
-  relaxes a position only if it and the piece before it stay two pieces when their joined string
-  is merged. That condition singles out one segmentation of every prefix, the one merging yields,
-  so the same single pass gives the ids of the reference library.
+A BPE model's scores are merge ranks; the reference library doesn't add them up but merges by them,
+so its ids differ from those of the best sum. Both belong to the same text. Where a trained model
+expects the library's, ``ids`` holds them: they come from the library itself, word by word. For a
+unigram model the library looks for the best sum as well, and ``ids`` are ``best_ids``.
 
-Words are segmented once per worker and then looked up.
+Two characters that stand next to each other in no piece are always a border. Between borders,
+strings are segmented once per worker and then looked up.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The character that stands for a space inside pieces.
 MARK = "\u2581"
@@ -38,192 +39,123 @@ class Codec:
     """Encodes and decodes texts with the pieces of one model file."""
 
     def __init__(self, model: bytes, unigram: bool):
-        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.library = library = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = range(library.vocab_size())
         self.unigram, self.unknown = unigram, library.unk_id()
         special = {i for i in size if library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i)}
         names = [library.id_to_piece(i) for i in size]
-        self.score = [library.get_score(i) for i in size]
+        self.scores = np.array([library.get_score(i) for i in size])
         self.ids = {names[i]: i for i in size if i not in special}
         self.bytes = {int(names[i][3:5], 16): i for i in size if library.is_byte(i)}
-        self.names = names
         self.raw = [
             bytes([int(names[i][3:5], 16)]) if library.is_byte(i) else b"" if library.is_control(i)
             else " \u2047 ".encode() if library.is_unknown(i) else names[i].replace(MARK, " ").encode() for i in size
         ]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, len(piece)))
+            self.automaton.add_word(piece, (i, len(piece), float(self.scores[i])))
         self.automaton.make_automaton()
-        self.floor = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
+        self.floor = min((float(self.scores[i]) for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         inner = any(MARK in p[1:] and p.strip(MARK) for p in self.ids)
-        alone = {c for p in self.ids for c in p} <= set(self.ids)
-        if not unigram and (inner or not alone):
-            raise ValueError("pieces that span words, or characters without a piece, aren't supported")
-        # In a BPE model no piece joins two words, so words are units; in a unigram model likewise.
+        if not unigram and inner:
+            raise ValueError("pieces that span words aren't supported")
+        # No piece joins two words, so words are units.
         self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not inner else re.compile(r"(?s).+")
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.spines: dict[tuple[int, int], tuple[int, ...] | None] = {}
-        self.splitting = -1
-        self.longest_run = max((len(p) for p in self.ids if not p.strip(MARK)), default=1)
-        self.words: dict[str, tuple[int, ...]] = Words(self.segment)
-
-    def encode(self, text: str | None) -> list[int]:
+        # Without bytes to fall back to, unknown characters in a row are one unknown piece.
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)} if self.bytes else None
+        if not unigram and (self.inside is None or any("\n" in p for p in self.ids)):
+            raise ValueError("a BPE model that falls back to bytes and has no piece with a line's end is expected")
+        self.apart = len(library.encode("\n"))
+        self.known = {p for p in self.ids if len(p) == 1}
+        #: Ids of units, and of what lies between the borders of a unit: (the library's, the best).
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
+
+    def encode_both(self, text: str | None) -> tuple[bytes, bytes]:
+        """The library's ids and those of the best sum, as native 32-bit integers."""
         if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        return list(chain.from_iterable(map(self.words.__getitem__, self.unit.findall(marked))))
+            return b"", b""
+        units = self.unit.findall(MARK + text.replace(" ", MARK))
+        if len(self.words) >= CACHE or len(self.parts) >= CACHE:
+            self.words.clear(), self.parts.clear()
+        held, new = self.words, set(units).difference(self.words)
+        if new:
+            found = self.look_up(new)
+            held.update((unit, ids) for unit, ids in found.items() if len(unit) <= LONGEST)
+            if any(len(unit) > LONGEST for unit in new):  # known for this text only
+                held = {unit: found.get(unit) or held[unit] for unit in set(units)}
+        library, best = zip(*map(held.__getitem__, units), strict=True)
+        return b"".join(library), b"".join(best)
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_both(text)[0], dtype=np.int32).tolist()
 
-    def segment(self, unit: str) -> tuple[int, ...]:
+    def look_up(self, units: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of units, put together from those between their borders."""
+        split = {unit: self.between_borders(unit) for unit in units}
+        new = list({part for parts in split.values() for part in parts}.difference(self.parts))
+        best = [self.segment(part) for part in new]
         if self.unigram:
-            return tuple(self.trace(unit, self.relax_sums(unit)))
-        body = unit.lstrip(MARK)
-        run = len(unit) - len(body)
-        if run == 0 or not body:
-            return tuple(self.run(run)) if run else tuple(self.merged(body))
-        word = self.merged(MARK + body)
-        # Merges of marks with each other rank below all others: the last mark joins its word first.
-        return tuple(self.run(run) + word[1:] if word[0] == self.ids.get(MARK) else self.run(run - 1) + word)
-
-    def relax_sums(self, text: str) -> list[tuple[int, int]]:
-        """For each end the last piece of the best segmentation: (start, id)."""
-        n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(0, self.unknown)] * (n + 1)
-        matches = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            matches[end].append(match)
-        for end in range(n):
-            for i, length in matches[end]:
-                start = end + 1 - length
-                if best[start] + self.score[i] > best[end + 1]:
-                    best[end + 1], back[end + 1] = best[start] + self.score[i], (start, i)
-            if not any(length == 1 for _, length in matches[end]) and best[end] + self.floor > best[end + 1]:
-                best[end + 1], back[end + 1] = best[end] + self.floor, (end, self.unknown)
-        return back
-
-    def trace(self, text: str, back: list[tuple[int, int]]) -> list[int]:
-        out, end = [], len(text)
+            library = best
+        else:
+            # The library puts a mark before every text; a line's end keeps it apart from the part.
+            coded = self.library.encode(["\n" + part.replace(MARK, " ") for part in new], num_threads=1)
+            library = [array("i", ids[self.apart :]).tobytes() for ids in coded]
+        found = dict(zip(new, zip(library, best, strict=True), strict=True))
+        self.parts.update((part, ids) for part, ids in found.items() if len(part) <= LONGEST)
+        of = lambda part: found.get(part) or self.parts[part]
+        return {unit: of(unit) if len(parts) == 1 else tuple(map(b"".join, zip(*map(of, parts), strict=True))) for unit, parts in split.items()}
+
+    def between_borders(self, unit: str) -> list[str]:
+        if self.inside is None or unit[1:].isalpha():
+            return [unit]
+        inside, at, parts = self.inside, 0, []
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in inside:
+                parts.append(unit[at:k])
+                at = k
+        parts.append(unit[at:])
+        return parts
+
+    def segment(self, unit: str) -> bytes:
+        """The ids of the largest sum of scores, by relaxing each end with all pieces that end there."""
+        n, worst = len(unit), float("-inf")
+        best, back = [0.0] + [worst] * n, [(self.unknown, 1)] * (n + 1)
+        if self.known.issuperset(unit):
+            for end, piece in self.automaton.iter(unit):
+                _, length, score = piece
+                end += 1
+                total = best[end - length] + score
+                if total > best[end]:
+                    best[end], back[end] = total, piece
+        else:
+            settled, known = 0, 0  # ends up to the first are final; where the last piece of one character ends
+            for end, piece in chain(self.automaton.iter(unit), ((n, None),)):
+                while settled < end:
+                    settled += 1
+                    if known != settled and best[settled - 1] + self.floor > best[settled]:
+                        best[settled], back[settled] = best[settled - 1] + self.floor, (self.unknown, 1)
+                if piece is None:
+                    break
+                _, length, score = piece
+                end += 1
+                known = end if length == 1 else known
+                total = best[end - length] + score
+                if total > best[end]:
+                    best[end], back[end] = total, piece
+        out, end = [], n
         while end:
-            start, i = back[end]
+            i, length = back[end][:2]
             if i == self.unknown and self.bytes:
-                out.extend(self.bytes[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass")))
+                out.extend(self.bytes[b] for b in reversed(unit[end - 1 : end].encode("utf-8", "surrogatepass")))
             elif i != self.unknown or not out or out[-1] != i:
                 out.append(i)
-            end = start
-        return out[::-1]
-
-    def merged(self, text: str) -> list[int]:
-        """What merging yields for a text with a mark at its start at most."""
-        back: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        back[0] = (0, -1)
-        done = 0
-        for end, (i, length) in self.automaton.iter(text):
-            while done < end:  # a character that is no piece: nothing merges with it
-                done += 1
-                back[done] = back[done] or (done - 1, self.unknown)
-            start = end + 1 - length
-            if back[end + 1] is None and (length == 1 or back[start] is not None) and self.stays(back[start][1], i):
-                back[end + 1], done = (start, i), end + 1
-        while done < len(text):
-            done += 1
-            back[done] = back[done] or (done - 1, self.unknown)
-        return self.trace(text, back)
-
-    def stays(self, left: int, right: int) -> bool:
-        """Whether merging the joined string of two pieces leaves these two."""
-        if left in (-1, self.unknown):
-            return self.spine(right, 0) is not None
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.apart(left, right)
-        return known
-
-    def apart(self, left: int, right: int) -> bool:
-        """Follow the symbols on both sides of the border as they grow into the two pieces.
-
-        A merge across the border comes first if its rank beats the next merge on either side;
-        of equal ranks the leftmost comes first.
-        """
-        before, after = self.spine(left, 1), self.spine(right, 0)
-        if before is None or after is None:
-            return False
-        i = j = 0
-        while True:
-            grown_left = -self.score[before[i + 1]] if i + 1 < len(before) else float("inf")
-            grown_right = -self.score[after[j + 1]] if j + 1 < len(after) else float("inf")
-            across = self.ids.get(self.names[before[i]] + self.names[after[j]])
-            if across is not None and -self.score[across] < grown_left and -self.score[across] <= grown_right:
-                return i + 1 == len(before) and j + 1 == len(after) and across == self.splitting
-            if grown_left == grown_right == float("inf"):
-                return across is None
-            if grown_left <= grown_right:
-                i += 1
-            else:
-                j += 1
-
-    def spine(self, piece: int, side: int) -> tuple[int, ...] | None:
-        """The symbols at the left (0) or right (1) edge of a piece, from a character to all of it.
-
-        None if merging never yields the piece.
-        """
-        known = self.spines.get((piece, side), ())
-        if known != ():
-            return known
-        name = self.names[piece]
-        found = (piece,) if len(name) == 1 else None
-        for k in range(1, len(name)):
-            halves = self.ids.get(name[:k]), self.ids.get(name[k:])
-            if None in halves or max(-self.score[h] for h in halves) >= -self.score[piece] and min(map(len, (name[:k], name[k:]))) > 1:
-                continue
-            outer, self.splitting = self.splitting, piece
-            joins = self.apart(*halves)
-            self.splitting = outer
-            if joins:
-                found = (*self.spine(halves[side], side), piece)
-                break
-        self.spines[piece, side] = found
-        return found
-
-    def merge(self, text: str) -> list[int]:
-        """Merging itself, for runs of marks: best rank first, then leftmost."""
-        symbols = list(text)
-        while True:
-            ranked = [(-self.score[i], k) for k in range(len(symbols) - 1) if (i := self.ids.get(symbols[k] + symbols[k + 1])) is not None]
-            if not ranked:
-                return [self.ids.get(s, self.unknown) for s in symbols]
-            k = min(ranked)[1]
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-
-    def run(self, marks: int) -> list[int]:
-        if marks <= 0:
-            return []
-        longest = self.longest_run
-        if marks <= 4 * longest:
-            return self.merge(MARK * marks)
-        # Leftmost merges of equal rank pair up marks from the left; long runs repeat the longest piece.
-        full = self.ids[MARK * longest]
-        head = marks // longest - 2
-        return [full] * head + self.merge(MARK * (marks - head * longest))
+            end -= length
+        return array("i", out[::-1]).tobytes()
 
-
-class Words(dict):
-    def __init__(self, segment):
-        super().__init__()
-        self.segment = segment
-
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.segment(unit)
-        if len(unit) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[unit] = ids
-        return ids
+    def decode(self, ids) -> str:
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
 
 
 def read_model(path: str) -> bytes:
@@ -231,40 +163,42 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encoder(model: bytes, unigram: bool = False):
-    """A Pandas UDF from a text column to its ids, ``array<int>``; null and empty texts have none."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = codec_of(model, unigram)
-        for texts in batches:
-            yield pd.Series([codec.encode(t) for t in texts], dtype=object)
-
-    return encode
-
-
-def decoder(model: bytes, unigram: bool = False):
-    """A Pandas UDF from ids to the text; null and empty ids give an empty text."""
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = codec_of(model, unigram)
-        for rows in batches:
-            yield pd.Series(["" if ids is None else codec.decode(ids) for ids in rows], dtype=object)
-
-    return decode
-
-
 def encode_decode(df: DataFrame, model_path: str, unigram: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every text and the text that they give again: ``id_col, ids, decoded``.
-
-    Ids are the library's, without begin or end. A null text counts as empty: no ids, an empty
-    text. Null or repeated document ids pass through; other columns are ignored; an empty table
-    gives an empty result. Decoding gives the text again, except that the mark character itself
-    comes back as a space, as in the library.
+    """Ids of every text and the text that they give again:
+    ``id_col, ids, best_ids, best_score, decoded, came_back``.
+
+    ``ids`` are the library's, without begin or end; ``best_ids`` those of the segmentation whose
+    scores have the largest sum, ``best_score``. ``decoded`` is the text of ``best_ids`` and
+    ``came_back`` whether it is the text given. A null text counts as empty: no ids, sum 0, an
+    empty text. Null or repeated document ids pass through; other columns are ignored; an empty
+    table gives an empty result. Decoding gives the text again, except that the mark character
+    itself comes back as a space, as in the library.
     """
     model = read_model(model_path)
-    text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    encoded = df.select(F.col(id_col), encoder(model, unigram)(text).alias("ids"))
-    return encoded.withColumn("decoded", decoder(model, unigram)(F.col("ids")))
+    given = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lists = pa.list_(pa.int32())
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(model, unigram)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            coded = [codec.encode_both(t) for t in texts]
+            library, best = (as_lists([c[k] for c in coded]) for k in (0, 1))
+            sums = [float(codec.scores[np.frombuffer(c[1], dtype=np.int32)].sum()) for c in coded]
+            decoded = [codec.decode(np.frombuffer(c[1], dtype=np.int32).tolist()) for c in coded]
+            same = [a == b for a, b in zip(decoded, texts, strict=True)]
+            columns = [batch.column("id"), library.cast(lists), best.cast(lists), pa.array(sums, pa.float64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "best_ids", "best_score", "decoded", "came_back"])
+
+    kind = given.schema["id"].dataType.simpleString()
+    out = given.mapInArrow(code, f"id {kind}, ids array<int>, best_ids array<int>, best_score double, decoded string, came_back boolean")
+    return out.withColumnRenamed("id", id_col)
+
+
+def as_lists(ids: list[bytes]) -> pa.Array:
+    """One list of ids for each row's bytes."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
 
 _codecs: dict[tuple[int, bool], Codec] = {}
