@@ -3,10 +3,11 @@
 Components are integers. For each dimension a shard keeps its vectors ordered by component and cut
 into segments of equal quantised component. A query's impact of a segment is the largest product
 it can add. Segments are taken in order of descending impact, whatever their dimension, and add
-their exact products to accumulators. What the rest of each dimension can still add lies between
-two bounds, so each vector's score does as well. The search stops only when the vectors whose upper
-bound reaches the k-th best lower bound are few, or nothing is left; those vectors are rescored
-exactly from their components.
+their exact products to accumulators. What a dimension can still add to a vector it has not met is
+at most the impact of the next segment, the same for all of them; so a vector's score is at most
+its accumulator plus that impact for each dimension not met yet. The best accumulators so far are
+rescored exactly, which gives a score that the k best reach. The search stops only when the vectors
+whose bound reaches that score are few, or nothing is left; those vectors are rescored exactly.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from .vectors import finite_vectors, padded, search
 #: Scale of components and width of a quantised level.
 SCALE, LEVEL = 256, 16
 #: Share of all postings read before the first proof is tried, and between two of them.
-FIRST, STEP = 0.5, 0.1
-#: The search may stop once so many vectors, or fewer, can still be among the best.
-RESCORE = 256
+FIRST, STEP = 0.45, 0.06
+#: The search may stop once the vectors that can still be among the best are this share or fewer:
+#: rescoring so many costs less than a further step of postings.
+RESCORE = 1 / 8
+#: Best accumulators that are rescored for each proof.
+LEADERS = 32
 
 
 class ImpactIndex:
@@ -30,99 +34,89 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         self.ids, self.x = ids, matrix.astype(np.int64)
-        self.order = np.argsort(-self.x, axis=0, kind="stable").T
+        self.order = np.argsort(-self.x, axis=0, kind="stable").T.astype(np.int32)
         self.arrange()
 
     def arrange(self) -> None:
+        """Values by dimension, and of all segments: dimension, largest and smallest value, length."""
         self.values = np.take_along_axis(self.x.T, self.order, axis=1)
-        self.ends = [np.append(np.flatnonzero(np.diff(row)) + 1, len(self.ids)) for row in self.values // LEVEL]
+        n = len(self.ids)
+        last = [np.append(np.flatnonzero(np.diff(row)), n - 1) for row in self.values // LEVEL]
+        first = [np.concatenate(([0], ends[:-1] + 1)) for ends in last]
+        self.dimension = np.repeat(np.arange(len(last)), list(map(len, last)))
+        self.length = np.concatenate([b - a + 1 for a, b in zip(first, last, strict=True)])
+        self.high = np.concatenate([row[a] for row, a in zip(self.values, first, strict=True)])
+        self.low = np.concatenate([row[b] for row, b in zip(self.values, last, strict=True)])
+        # Narrow postings: reading them from memory is most of the work.
+        self.values = np.ascontiguousarray(self.values, np.int16 if np.abs(self.values).max(initial=0) < 2**15 else np.float64)
+        self.rows = np.ascontiguousarray(self.order, np.uint16 if n <= 2**16 else np.int32)
+        self.at, self.add = np.empty(n, dtype=np.intp), np.empty(n)
+        self.largest = np.abs(self.x).max(axis=0).astype(np.float64)
+        self.exact = self.x.astype(np.float64)
 
     def __getstate__(self) -> dict:
         small = np.int32 if np.abs(self.x).max(initial=0) < 2**31 else np.int64
-        return {"ids": self.ids, "x": self.x.astype(small), "order": self.order.astype(np.uint32)}
+        return {"ids": self.ids, "x": self.x.astype(small), "order": self.order}
 
     def __setstate__(self, state: dict) -> None:
-        self.ids, self.x, self.order = state["ids"], state["x"].astype(np.int64), state["order"].astype(np.int64)
+        self.ids, self.x, self.order = state["ids"], state["x"].astype(np.int64), state["order"]
         self.arrange()
 
-    def segments(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(impact, dimension, postings up to its end) of all segments, by descending impact.
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores of some rows; in double precision where whole numbers below 2**53 suffice."""
+        if np.abs(q) @ self.largest < 2**53:
+            return (self.exact[rows] @ q.astype(np.float64)).astype(np.int64)
+        return self.x[rows] @ q
 
-        For a negative component the smallest values have the largest impact, so its dimension is
-        read from the other side.
-        """
-        impact, dimension, upto = [], [], []
-        n = len(self.ids)
-        for d, q in enumerate(query):
-            if q > 0:
-                first = np.concatenate(([0], self.ends[d][:-1]))
-                impact.append(q * self.values[d, first])
-                upto.append(self.ends[d])
-            elif q < 0:
-                last = self.ends[d][::-1]
-                impact.append(q * self.values[d, last - 1])
-                upto.append(n - np.append(last[1:], 0))
-            else:
-                continue
-            dimension.append(np.full(len(upto[-1]), d))
-        if not impact:
-            return np.empty(0), np.empty(0, int), np.empty(0, int)
-        impact, dimension, upto = map(np.concatenate, (impact, dimension, upto))
-        by = np.argsort(-impact, kind="stable")
-        return impact[by], dimension[by], upto[by]
-
-    def postings(self, d: int, start: int, end: int, descending: bool) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
-        part = slice(start, end) if descending else slice(n - end, n - start)
-        return self.order[d, part], self.values[d, part]
-
-    def top(self, query_id: int, query: np.ndarray, k: int, step: float = STEP, rescore: int = RESCORE) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query_id: int, query: np.ndarray, k: int, step: float = STEP, rescore: float = RESCORE, read: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best others. ``read`` gets the share of postings that were read."""
         n, q = len(self.ids), query.astype(np.int64)
         others = self.ids != query_id
         wanted = min(k, int(others.sum()))
         if not wanted:
             return self.ids[:0], self.ids[:0]
-        _, dimension, upto = self.segments(q)
+        weight = q[self.dimension]
+        impact = weight * np.where(weight > 0, self.high, self.low)
+        by = np.argsort(-impact, kind="stable")
+        upto = np.cumsum(self.length[by])
         done = np.zeros(len(q), dtype=np.int64)
-        score = np.zeros(n, dtype=np.int64)
-        unread = np.ones((len(q), n), dtype=np.float32)
-        at, possible = 0, np.flatnonzero(others)
-        budget = max(1, int(FIRST * n * len(q)))
-        while at < len(dimension):
-            goal, read = done.copy(), 0
-            while at < len(dimension) and read < budget:
-                d = dimension[at]
-                read += upto[at] - goal[d]
-                goal[d] = upto[at]
-                at += 1
-            for d in np.flatnonzero(goal > done):
-                rows, values = self.postings(d, done[d], goal[d], q[d] > 0)
-                score[rows] += q[d] * values
-                unread[d, rows] = 0
-            done, budget = goal, max(1, int(step * n * len(q)))
-            # Bounds are widened by what single precision may lose.
-            bounds = np.stack(self.rest(q, done)).astype(np.float32)
-            loss = 1e-4 * np.abs(bounds).sum() + 1
-            most, least = bounds @ unread
-            lower = (score + least - loss)[possible]
-            reach = np.partition(lower, len(lower) - wanted)[len(lower) - wanted]
-            possible = possible[(score + most + loss)[possible] >= reach]
-            if len(possible) <= max(rescore, wanted):
+        # One number holds both: how many dimensions a vector has been met in, times ``unit``, and its products' sum.
+        most = float(np.abs(q) @ self.largest)
+        unit = 2.0 ** np.ceil(np.log2(2 * most + 2))
+        loss = 1 + unit * len(q) ** 2 * 2.0**-51  # what rounding may lose; less than one for ordinary vectors
+        seen, met, bound = np.zeros((3, n))
+        at, share, possible = 0, FIRST, np.flatnonzero(others)
+        tried = max(LEADERS, wanted)
+        most_left = max(wanted, int(rescore * n) if rescore < 1 else int(rescore))
+        while at < len(by):
+            end = max(at + 1, int(np.searchsorted(upto, share * upto[-1], side="right")))
+            part = by[at:end]
+            goal = done + np.bincount(self.dimension[part], self.length[part], len(q)).astype(np.int64)
+            for d in np.flatnonzero((goal > done) & (q != 0)):
+                # A negative component turns the order round.
+                span = slice(done[d], goal[d]) if q[d] > 0 else slice(n - goal[d], n - done[d])
+                rows, add = self.at[: goal[d] - done[d]], self.add[: goal[d] - done[d]]
+                rows[:], add[:] = self.rows[d, span], self.values[d, span]
+                add *= q[d]
+                add += unit
+                np.add.at(seen, rows, add)
+            done, at, share = goal, end, share + step
+            ahead = float(impact[by[at]]) if at < len(by) else 0.0
+            # bound = products' sum + ahead * dimensions not met
+            np.rint(np.multiply(seen, 1 / unit, out=met), out=met)
+            np.add(seen, np.multiply(met, -unit - ahead, out=bound), out=bound)
+            score = bound[possible] + ahead * met[possible]
+            leaders = possible[np.argpartition(-score, min(tried, len(possible) - 1))[:tried]]
+            reach = np.partition(self.scores(leaders, q), len(leaders) - wanted)[len(leaders) - wanted]
+            possible = possible[bound[possible] >= reach - ahead * np.count_nonzero(q) - loss]
+            if len(possible) <= most_left:
                 break
-        exact = self.x[possible] @ q
+        if read is not None:
+            read.append(float(upto[at - 1] / upto[-1]))
+        exact = self.scores(possible, q)
         best = np.lexsort((self.ids[possible], -exact))[:wanted]
         return self.ids[possible[best]], exact[best]
 
-    def rest(self, q: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The most and the least that the unread part of each dimension can add to a score."""
-        n = len(self.ids)
-        d = np.arange(len(q))
-        down = q > 0
-        next_at = np.where(down, np.minimum(done, n - 1), np.maximum(n - 1 - done, 0))
-        last_at = np.where(down, n - 1, 0)
-        left = (done < n) & (q != 0)
-        return np.where(left, q * self.values[d, next_at], 0), np.where(left, q * self.values[d, last_at], 0)
-
 
 def exact_top_k(df: DataFrame, query_modulus: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding", **sizes: int) -> DataFrame:
     """The ``k`` largest integer inner products of each query: ``query_id, rank, vec_id, score``.

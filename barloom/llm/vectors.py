@@ -2,8 +2,9 @@
 
 Vectors are dealt to shards by a hash of their id, so a group of equal vectors is spread evenly.
 Each shard's index is one row, built in its own task from a bounded number of vectors. A block of
-queries is one row as well. Their join has one row per shard and block, whose task yields the best
-of that shard for each query; those few rows are merged per query.
+queries is one row as well. A probing task gets one shard's index, once, and then up to
+``BLOCKS_PER_TASK`` blocks one after the other; it yields the best of that shard for each query, and
+those few rows are merged per query.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard and queries of a block, on average.
-SHARD_ROWS, BLOCK_QUERIES = 16_384, 256
+#: Vectors of a shard and queries of a block, on average, and blocks that one task meets.
+SHARD_ROWS, BLOCK_QUERIES, BLOCKS_PER_TASK = 16_384, 128, 4
+#: Probing partitions at most; tasks beyond that share them.
+MOST_PARTITIONS = 20_000
 
 
 def finite_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -55,23 +58,30 @@ def search(
     ``find(index, query id, query, k)`` gives ids and scores of a shard's best; ties go to the smaller id.
     """
     index, shards = deal(vectors, shard_rows, "shard", build)
-    blocks, _ = deal(vectors.filter(queries), block_queries, "block", lambda ids, matrix: (ids, matrix))
-    spread = blocks.withColumnRenamed("payload", "queries").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    blocks, n_blocks = deal(vectors.filter(queries), block_queries, "block", lambda ids, matrix: (ids, matrix))
+    copies = -(-n_blocks // BLOCKS_PER_TASK)
+    partitions = min(shards * copies, MOST_PARTITIONS)
+    # A task's rows are its shard's index, then the blocks of its copy.
+    place = (F.col("shard") * copies + F.col("copy")).alias("task")
+    indexes = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(place, F.lit(-1).alias("block"), "payload")
+    spread = blocks.withColumns({"copy": F.col("block") % copies, "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))}).select(place, "block", "payload")
+    dealt = indexes.unionByName(spread).withColumn("partition", (F.col("task") % partitions).cast("int"))
+    dealt = dealt.repartitionById(partitions, "partition").sortWithinPartitions("task", "block").select("task", "block", "payload")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[int | None, object] = (None, None)
         for batch in batches:
-            for shard, payload, wanted in zip(batch["shard"], batch["payload"], batch["queries"], strict=True):
-                if held[0] != shard:
-                    held = (shard, pickle.loads(payload))
-                rows = []
-                for query_id, query in zip(*pickle.loads(wanted), strict=True):
-                    ids, scores = find(held[1], query_id, query, k)
-                    rows.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-                yield pd.concat(rows)
-
-    pairs = spread.join(index, "shard").select("shard", "payload", "queries")
-    found = pairs.mapInPandas(probe, f"query_id long, vec_id long, score {score_type}")
+            for task, block, payload in zip(batch["task"], batch["block"], batch["payload"], strict=True):
+                if block < 0:
+                    held = (task, pickle.loads(payload))
+                elif held[0] == task:  # a shard without vectors has no index
+                    rows = []
+                    for query_id, query in zip(*pickle.loads(payload), strict=True):
+                        ids, scores = find(held[1], query_id, query, k)
+                        rows.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
+                    yield pd.concat(rows)
+
+    found = dealt.mapInPandas(probe, f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
