@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 #: The character that stands for a space inside pieces.
 MARK = "\u2581"
-#: Longer units are segmented each time; entries of a worker's caches before they start anew.
-LONGEST, CACHE = 40, 500_000
+#: Longer units are segmented each time; entries of a worker's cache before it starts anew.
+LONGEST, CACHE = 40, 800_000
 #: How far below the worst score an unknown character lies in a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -67,48 +67,48 @@ class Codec:
             raise ValueError("a BPE model that falls back to bytes and has no piece with a line's end is expected")
         self.apart = len(library.encode("\n"))
         self.known = {p for p in self.ids if len(p) == 1}
-        #: Ids of units, and of what lies between the borders of a unit: (the library's, the best).
+        #: Ids of units and of what lies between the borders of a unit: (the library's, the best).
         self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
 
     def encode_both(self, text: str | None) -> tuple[bytes, bytes]:
         """The library's ids and those of the best sum, as native 32-bit integers."""
         if not text:
             return b"", b""
         units = self.unit.findall(MARK + text.replace(" ", MARK))
-        if len(self.words) >= CACHE or len(self.parts) >= CACHE:
-            self.words.clear(), self.parts.clear()
-        held, new = self.words, set(units).difference(self.words)
-        if new:
-            found = self.look_up(new)
-            held.update((unit, ids) for unit, ids in found.items() if len(unit) <= LONGEST)
-            if any(len(unit) > LONGEST for unit in new):  # known for this text only
-                held = {unit: found.get(unit) or held[unit] for unit in set(units)}
-        library, best = zip(*map(held.__getitem__, units), strict=True)
+        found = list(map(self.words.get, units))
+        if None in found:
+            new = self.look_up({unit for unit, ids in zip(units, found, strict=True) if ids is None})
+            found = [ids or new[unit] for unit, ids in zip(units, found, strict=True)]
+        library, best = zip(*found, strict=True)
         return b"".join(library), b"".join(best)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_both(text)[0], dtype=np.int32).tolist()
 
     def look_up(self, units: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids of units, put together from those between their borders."""
-        split = {unit: self.between_borders(unit) for unit in units}
-        new = list({part for parts in split.values() for part in parts}.difference(self.parts))
-        best = [self.segment(part) for part in new]
+        """Ids of new units, put together from those between their borders, and kept for later."""
+        if len(self.words) >= CACHE:
+            self.words.clear()
+        split = {} if self.inside is None else {unit: self.between_borders(unit) for unit in units if not unit[1:].isalpha()}
+        parts = {part for of in split.values() for part in of}
+        whole = [part for part in (units.difference(split) | parts) if part not in self.words]
+        best = [self.segment(part) for part in whole]
         if self.unigram:
             library = best
         else:
             # The library puts a mark before every text; a line's end keeps it apart from the part.
-            coded = self.library.encode(["\n" + part.replace(MARK, " ") for part in new], num_threads=1)
+            coded = self.library.encode(["\n" + part.replace(MARK, " ") for part in whole], num_threads=1)
             library = [array("i", ids[self.apart :]).tobytes() for ids in coded]
-        found = dict(zip(new, zip(library, best, strict=True), strict=True))
-        self.parts.update((part, ids) for part, ids in found.items() if len(part) <= LONGEST)
-        of = lambda part: found.get(part) or self.parts[part]
-        return {unit: of(unit) if len(parts) == 1 else tuple(map(b"".join, zip(*map(of, parts), strict=True))) for unit, parts in split.items()}
+        new = dict(zip(whole, zip(library, best, strict=True), strict=True))
+        known = self.words
+        for unit, of in split.items():
+            if len(of) > 1:
+                pairs = [new.get(part) or known[part] for part in of]
+                new[unit] = b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+        known.update(new if max(map(len, new), default=0) <= LONGEST else {unit: ids for unit, ids in new.items() if len(unit) <= LONGEST})
+        return new
 
     def between_borders(self, unit: str) -> list[str]:
-        if self.inside is None or unit[1:].isalpha():
-            return [unit]
         inside, at, parts = self.inside, 0, []
         for k in range(1, len(unit)):
             if unit[k - 1 : k + 1] not in inside:
