@@ -7,18 +7,25 @@
    and SHARED tokens among as many more. Classes are joined on those tokens of the first order. The
    join's condition holds the length filter, the positional filter, and a bound on the symmetric
    difference from 256 parity bits; the pairs' shared tokens are counted afterwards.
-3. Candidates are dealt to groups of bounded size. There each text comes once; a pair must share
-   prefix tokens under the other orders too, and what is left is compared exactly.
-4. Only components are wanted. Where a token is in very many classes, a few leaders per token are
+3. Each class also keeps its prefix tokens under the other orders. Candidates must share some under
+   every order: the filters are intersected before any text is moved.
+4. What is left is dealt to groups of bounded size. There each text comes once, and pairs are
+   compared exactly.
+5. Only components are wanted. Where a token is in very many classes, a few leaders per token are
    compared first. What they link collapses, and only pairs across different components are
    compared afterwards, so a large group of near copies isn't expanded into all its pairs, and yet
-   every pair that could join two components is compared.
+   every pair that could join two components is compared. Those meet by more than the token: short
+   sets by as many equal words of parity bits as the difference they may have leaves, long ones by
+   length.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -26,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_semi_filter, materialize
+from .common import bitmap_semi_filter, discard, materialize
 
 #: Cells of the frequency sketch (one byte each when broadcast) and cells of one row of it.
 CELLS, CHUNK = 1 << 22, 1 << 12
@@ -106,6 +113,15 @@ class Threshold:
         """Tokens that sets of these sizes must share."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def apart(self, both):
+        """Tokens in one of two sets only, at most, where their sizes add up to ``both``."""
+        return both - 2 * self.overlap(both, 0)
+
+
+def digest(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64).tolist())
+
 
 def digests(df: DataFrame, size: int) -> DataFrame:
     """Rows of kind 0, one per text: id, key, shingles, digest. Rows of kind 1: parts of each task's sketch."""
@@ -116,8 +132,7 @@ def digests(df: DataFrame, size: int) -> DataFrame:
             for text in batch["text"]:
                 h = shingles(text, size)
                 np.add.at(counts, cell(h), 1)
-                d = xxhash.xxh3_128_digest(h.tobytes())
-                rows.append((len(h), *np.frombuffer(d, dtype=np.int64)))
+                rows.append((len(h), *digest(h)))
             out = pd.DataFrame(rows, columns=["n", "node", "check"])
             out["kind"], out["id"], out["key"], out["part"] = 0, batch["id"].astype("Int64"), batch["key"], None
             yield out[["kind", "id", "key", "n", "node", "check", "part"]]
@@ -149,17 +164,22 @@ def frequency_classes(parts: DataFrame) -> np.ndarray:
     return classes
 
 
-def postings(df: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
-    """Prefix tokens of the first order: ``token, node, n, pos``, parities; a task skips copies it has seen."""
+def postings(df: DataFrame, size: int, limit: Threshold, classes, clash: frozenset[int]) -> DataFrame:
+    """Prefix tokens of the first order: ``token, node, n, pos``, parities; a task skips copies it has seen.
+
+    One more row for each set has ``pos`` -1 and, in ``others``, its prefix tokens under the other
+    orders, folded to 32 bits: equal tokens stay equal.
+    """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, seen = classes.value, set()
         for batch in batches:
-            token, node, n, pos, parity = [], [], [], [], [[] for _ in PARITY]
+            token, node, n, pos, parity, sets = [], [], [], [], [[] for _ in PARITY], []
             for text in batch["text"]:
                 h = shingles(text, size)
                 if not len(h):
                     continue
-                d = int(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64)[0])
+                d, check = digest(h)
+                d = check if d in clash else d
                 if d in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -171,13 +191,39 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
                 node.append(np.full(p, d)), n.append(np.full(p, len(h))), pos.append(np.arange(p))
                 for column, bits in zip(parity, np.packbits(odd).view(np.int64), strict=True):
                     column.append(np.full(p, bits))
+                sets.append((d, len(h), [(ordered(h, table, k)[: limit.probe(len(h))] >> _U(32)).astype(np.uint32).view(np.int32) for k in range(1, len(ORDERS))]))
             if token:
                 yield pd.DataFrame({
                     "token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(n).astype(np.int32),
-                    "pos": np.concatenate(pos).astype(np.int32), **{name: np.concatenate(c) for name, c in zip(PARITY, parity, strict=True)},
+                    "pos": np.concatenate(pos).astype(np.int32), **{name: np.concatenate(c) for name, c in zip(PARITY, parity, strict=True)}, "others": None,
+                })
+                yield pd.DataFrame({
+                    "token": 0, "node": [d for d, _, _ in sets], "n": np.array([n for _, n, _ in sets], dtype=np.int32), "pos": np.int32(-1),
+                    **dict.fromkeys(PARITY, 0), "others": [o for _, _, o in sets],
                 })
 
-    return df.select("text").mapInPandas(read, "token long, node long, n int, pos int, " + ", ".join(f"{c} long" for c in PARITY))
+    return df.select("text").mapInPandas(read, "token long, node long, n int, pos int, " + ", ".join(f"{c} long" for c in PARITY) + ", others array<array<int>>")
+
+
+def share_others(pairs: DataFrame, others: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs ``a, b, na, nb`` whose sets share prefix tokens under every other order too.
+
+    The shorter set has a token among its first few that may come first in both; the longer one
+    has it in its prefix.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = materialize(bitmap_semi_filter(others, "node", wanted).join(wanted, "node").dropDuplicates(["node"]), "prefixes")
+    of = lambda c: held.select(F.col("node").alias(c), F.col("others").alias(f"o{c}"))
+    p = limit.percent
+    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    shorter = F.least("na", "nb").cast("long")
+    count = (shorter - F.ceil(shorter * (2 * p) / (100 + p) - 1e-6) + 1).cast("int")
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    for k in range(len(ORDERS) - 1):
+        short = F.when(first, F.col("oa")[k]).otherwise(F.col("ob")[k])
+        long = F.when(first, F.col("ob")[k]).otherwise(F.col("oa")[k])
+        met = met.filter(F.arrays_overlap(F.slice(short, F.lit(1), count), long))
+    return met.select("a", "b", "na", "nb")
 
 
 def fits(limit: Threshold, a: str, b: str):
@@ -211,6 +257,44 @@ def within_tokens(first: DataFrame, tokens: DataFrame, limit: Threshold) -> Data
     return pairs.filter((F.col("l.node") < F.col("r.node")) & fits(limit, "l", "r"))
 
 
+#: By how many tokens two sets differ at most: the words of parity bits of which one choice is equal.
+CHOICES = {apart: list(combinations(PARITY, len(PARITY) - apart)) for apart in range(len(PARITY))}
+
+
+def with_keys(rows: DataFrame, limit: Threshold, left: bool) -> DataFrame:
+    """Rows of hot tokens, once for each key ``apart, choice, value`` by which they meet others.
+
+    Sets that may differ by d tokens only have at most d unequal words of parity bits, so one choice
+    of the remaining words is equal. Sets that may differ by more meet by classes of length.
+    """
+    p, many = limit.percent, len(PARITY)
+    last = max(s for s in range(2, 100 * many) if limit.apart(s) < many)
+    n = F.col("n").cast("long")
+    least, most = n + F.ceil(n * p / 100 - 1e-6), n + F.floor(n * 100 / p + 1e-6)
+    apart = lambda s: F.least(s - 2 * F.ceil(s * p / (100 + p) - 1e-6), F.lit(many).cast("long"))
+    kinds = F.when(least <= last, F.array_distinct(F.transform(F.sequence(least, F.least(most, F.lit(10 * last).cast("long"))), apart))).otherwise(F.array(F.lit(many).cast("long")))
+    grade = F.floor(F.log(n.cast("double")) / np.log(100 / p)).cast("long")
+    key = lambda d, k, value: F.struct(F.lit(d).alias("apart"), F.lit(k).alias("choice"), value.alias("value"))
+    lengths = F.array(*[key(many, 0, grade + step) for step in ((-1, 0, 1) if left else (0,))])
+    keys = F.when(F.array_contains(kinds, F.lit(many).cast("long")), lengths).otherwise(F.slice(lengths, 1, 0))
+    for d, choices in CHOICES.items():
+        some = F.array(*[key(d, k, F.xxhash64(*choice)) for k, choice in enumerate(choices)])
+        keys = F.concat(keys, F.when(F.array_contains(kinds, F.lit(d).cast("long")), some).otherwise(F.slice(some, 1, 0)))
+    return rows.withColumn("key", F.explode(keys)).select("*", "key.*").drop("key")
+
+
+def meet_once(limit: Threshold):
+    """That two rows with equal keys differ as much as the key says, and that it is their first equal choice."""
+    both = F.col("l.n").cast("long") + F.col("r.n")
+    right = F.least(both - 2 * F.ceil(both * limit.percent / (100 + limit.percent) - 1e-6), F.lit(len(PARITY)).cast("long")) == F.col("l.apart")
+    equal = lambda choice: reduce(and_, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in choice])
+    for d, choices in CHOICES.items():
+        for k in range(1, len(choices)):
+            earlier = reduce(or_, [equal(c) for c in choices[:k]])
+            right &= ~((F.col("l.apart") == d) & (F.col("l.choice") == k) & earlier)
+    return right
+
+
 def as_pairs(joined: DataFrame) -> DataFrame:
     """One row ``a, b, na, nb`` per pair of nodes and token."""
     first = F.col("l.node") < F.col("r.node")
@@ -220,9 +304,11 @@ def as_pairs(joined: DataFrame) -> DataFrame:
     )
 
 
-def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit: Threshold, classes) -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit: Threshold) -> tuple[DataFrame, list[DataFrame]]:
     """Links that connect what pairs above the threshold connect, as their classes' nodes: ``a, b``.
 
+    Also what was written for them, to be discarded once the links are.
+
     Every group links each of its members to the smallest one it is connected with; pairs that are
     connected already need no comparison.
 
@@ -243,12 +329,10 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
     texts = bitmap_semi_filter(docs, "id", wanted).join(wanted, ["id", "key"]).select("g", "i", "j", "node", "text")
 
     def verify(given: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        table, sets = classes.value, {}
+        sets: dict[int, np.ndarray] = {}
         for node, text in zip(members["node"], members["text"], strict=True):
             if node not in sets:
-                h = shingles(text, size)
-                orders = [ordered(h, table, k) for k in range(1, len(ORDERS))]
-                sets[node] = h, [frozenset(o[: limit.index(len(h))].tolist()) for o in orders], [frozenset(o[: limit.probe(len(h))].tolist()) for o in orders]
+                sets[node] = shingles(text, size)
         root = {node: node for node in sets}
 
         def find(node: int) -> int:
@@ -259,9 +343,7 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
         for a, b in zip(given["a"], given["b"], strict=True):
             if (u := find(a)) == (v := find(b)):
                 continue
-            (x, short, _), (y, _, long) = sorted((sets[a], sets[b]), key=lambda s: len(s[0]))
-            if any(s.isdisjoint(t) for s, t in zip(short, long, strict=True)):
-                continue
+            x, y = sorted((sets[a], sets[b]), key=len)
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             if int((y[at] == x).sum()) >= limit.overlap(len(x), len(y)):
                 low, high = sorted((u, v))
@@ -270,7 +352,7 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     keys = ["g", "i", "j"]
-    return placed.groupBy(keys).cogroup(texts.groupBy(keys)).applyInPandas(verify, "a long, b long")
+    return placed.groupBy(keys).cogroup(texts.groupBy(keys)).applyInPandas(verify, "a long, b long"), [placed, wanted]
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -293,7 +375,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select("hi", "lo", "m")
         stars = small.select(F.col("m").alias("lo"), F.col("hi")).unionByName(small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
-        current = materialize(stars.filter("lo <> hi").distinct(), name)
+        done, current = current, materialize(stars.filter("lo <> hi").distinct(), name)
+        discard(done)
 
 
 def text_key(column: str) -> Column:
@@ -312,45 +395,72 @@ def linked_rows(df: DataFrame, percent: int, size: int, id_col: str = "doc_id",
     known = docs.filter(F.col("id").isNotNull())
     read = materialize(digests(docs, size), "digests")
     rows = read.filter("kind = 0").select("id", "key", "n", "node", "check")
-    named = rows.filter("id IS NOT NULL AND n > 0")
-    least = named.groupBy("node", "check").agg(F.min(F.struct("id", "key")).alias("least"))
+    least = rows.filter("id IS NOT NULL AND n > 0").groupBy("node", "check").agg(F.min(F.struct("id", "key")).alias("least"))
     reps = materialize(least.select("node", "check", "least.*"), "classes")
-    if reps.groupBy("node").count().filter("count > 1").head(1):
-        raise ValueError("two different texts have one digest")
+    # Classes go by half of their digest. Where that is the same for two, by the other half: with N
+    # classes those are some N * N / 2**65, a few hundred of 10**11.
+    clash = frozenset(r.node for r in reps.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").select("node").collect())
+    if clash:
+        rename = F.when(F.col("node").isin(*clash), F.col("check")).otherwise(F.col("node"))
+        rows, reps = rows.withColumn("node", rename), reps.withColumn("node", rename)
+        if reps.groupBy("node").count().filter("count > 1").head(1):
+            raise ValueError("two different texts have one digest")
+    named = rows.filter("id IS NOT NULL AND n > 0")
     classes = df.sparkSession.sparkContext.broadcast(frequency_classes(read))
 
-    first = materialize(postings(known, size, limit, classes), "postings")
+    written = materialize(postings(known, size, limit, classes, clash), "postings")
+    first, others = written.filter("pos >= 0").drop("others"), written.filter("pos < 0").select("node", "others")
+    scratch = [written]
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(materialize(df, name))
+        return scratch[-1]
+
     shared = first.groupBy("token").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("c")
     ).filter("lo <> hi")
     # A token of two texts only is of use if their lengths agree.
     shared = shared.filter((F.col("c") > 2) | (F.col("least").cast("long") * 100 >= F.col("most").cast("long") * percent))
-    shared = materialize(shared.select("token", (F.col("c") > HOT).alias("hot")), "tokens")
+    shared = keep(shared.select("token", (F.col("c") > HOT).alias("hot")), "tokens")
     rep_ids = reps.select("node", "id", "key")
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        links, parts = compare(share_others(keep(pairs, f"{name}-candidates"), others, limit), known, rep_ids, size, limit)
+        scratch.extend(parts)
+        return keep(links, f"{name}-links")
+
     candidates, edges = as_pairs(within_tokens(first, shared.filter("NOT hot").select("token"), limit)), None
     if shared.filter("hot").head(1):
         tokens = shared.filter("hot").select("token")
-        hot = materialize(bitmap_semi_filter(first, "token", tokens).join(tokens, "token").dropDuplicates(["token", "node"]), "lists")
+        hot = keep(bitmap_semi_filter(first, "token", tokens).join(tokens, "token").dropDuplicates(["token", "node"]), "lists")
         salt = F.pmod(F.xxhash64("node", F.lit("leader")), F.lit(LEADERS))
         lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", *PARITY)).alias("x")).select("token", "x.*")
         led = lead.alias("l").join(hot.alias("r"), F.col("l.token") == F.col("r.token")).filter((F.col("l.node") != F.col("r.node")) & fits(limit, "l", "r"))
-        edges = materialize(compare(as_pairs(led).distinct(), known, rep_ids, size, limit, classes), "leader-links")
-        label = reps.join(components(edges, "leader-components").withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+        edges = links_of(as_pairs(led).distinct(), "leader")
+        grouped = components(edges, "leader-components")
+        scratch.append(grouped)
+        label = reps.join(grouped.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
         marked = hot.join(label, "node")
         major = marked.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-        marked = materialize(marked.join(major, "token").withColumn("rest", F.col("comp") != F.col("major")).drop("major"), "marked")
+        marked = keep(marked.join(major, "token").withColumn("rest", F.col("comp") != F.col("major")).drop("major"), "marked")
         once = (F.col("l.node") < F.col("r.node")) | ~F.col("r.rest")
-        across = marked.filter("rest").alias("l").join(marked.alias("r"), F.col("l.token") == F.col("r.token"))
-        across = across.filter((F.col("l.comp") != F.col("r.comp")) & once & fits(limit, "l", "r"))
+        # Only tokens with a second component go on.
+        apart = marked.filter("rest").select("token").distinct()
+        either = bitmap_semi_filter(marked, "token", apart).join(apart, "token")
+        meet = ["token", "apart", "choice", "value"]
+        across = with_keys(marked.filter("rest"), limit, True).alias("l").join(
+            with_keys(either, limit, False).alias("r"), reduce(and_, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in meet]))
+        across = across.filter((F.col("l.comp") != F.col("r.comp")) & once & meet_once(limit) & fits(limit, "l", "r"))
         known_comp = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-        apart = candidates.join(known_comp("a"), "a").join(known_comp("b"), "b").filter("comp_a <> comp_b")
-        candidates = apart.select("a", "b", "na", "nb").unionByName(as_pairs(across))
+        parted = candidates.join(known_comp("a"), "a").join(known_comp("b"), "b").filter("comp_a <> comp_b")
+        candidates = parted.select("a", "b", "na", "nb").unionByName(as_pairs(across))
     overlap = F.ceil((F.col("na").cast("long") + F.col("nb")) * percent / (100 + percent) - 1e-6)
     candidates = candidates.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(F.col("c") >= F.least(F.lit(SHARED), overlap)).drop("c")
-    links = compare(materialize(candidates, "candidates"), known, rep_ids, size, limit, classes)
+    links = links_of(candidates, "all")
     if edges is not None:
         links = links.unionByName(edges)
     linked = components(links).withColumnRenamed("id", "node")
+    discard(*(df for df in scratch if hasattr(df, "_barloom_folder")))
     smallest = linked.join(rep_ids, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     named_classes = reps.join(linked.join(smallest, "component"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("linked"), F.coalesce("component_id", "id").alias("component_id"))

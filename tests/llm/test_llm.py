@@ -395,3 +395,40 @@ def test_folding_inside_long_texts():
     found, around = toxicity.Lexicon({"idiot": 3.0}).automaton(), "plain words go on " * 2000
     for word in ("1d10t", "іdiot", "IDIOT$$$"):
         assert toxicity.hits(found, f"{around}{word} {around}")[0] == 3.0, word
+
+
+def test_ngram_join_with_equal_half_digests(spark, monkeypatch):
+    """Different sets whose first half of the digest is the same are told apart by the other half."""
+    real = ngram_join.digest
+    monkeypatch.setattr(ngram_join, "digest", lambda h: (real(h)[0] & 7, real(h)[1]))
+    pick = random.Random(2)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(k, edited(pick, base, pick.randrange(0, 6))) for k in range(40)] + [(100 + k, f"x{k} y{k}") for k in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 90, 3)
+
+
+@pytest.mark.parametrize("percent,size", [(90, 3), (80, 5)])
+def test_ngram_join_of_short_texts_with_common_passages(spark, monkeypatch, percent, size):
+    """Passages that fill most of many short texts: hot tokens in every prefix, most pairs below the threshold."""
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    monkeypatch.setattr(ngram_join, "LEADERS", 2)
+    pick = random.Random(9)
+    rows = []
+    for k in range(240):
+        words = [f"p{k % 3}{j}" for j in range(pick.choice([3, 6, 12, 20, 30, 45, 70]))]
+        rows.append((k, edited(pick, words, pick.randrange(0, 3))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), percent, size).collect()}
+    assert got == brute_components(rows, percent, size)
+
+
+def test_one_shingle_in_thousands_of_unrelated_texts_forms_few_pairs(spark):
+    """Every text is a common shingle and one of its own: no square of their number meets."""
+    limit, n = ngram_join.Threshold(90), 3000
+    texts = spark.createDataFrame([(f"own{k} all rights reserved",) for k in range(n)], "text string")
+    table = spark.sparkContext.broadcast(np.zeros(ngram_join.CELLS, dtype=np.uint8))
+    hot = ngram_join.postings(texts, 3, limit, table, frozenset()).filter("pos >= 0").drop("others")
+    keys = ["token", "apart", "choice", "value"]
+    left, right = (ngram_join.with_keys(hot, limit, side).groupBy(keys).count() for side in (True, False))
+    met = left.join(right.withColumnRenamed("count", "c"), keys).agg(F.sum(F.col("count") * F.col("c")).alias("n")).first().n
+    assert met < 60 * n
