@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fusion, labels, metrics, quality, splits
+from . import config
+from .operators import checks, fusion, labels, metrics, quality, splits
 from .operators.model import BoostedTrees, train_two_stages
 from .params import Ratios, interval_minutes
 from .session import ship
@@ -38,9 +41,45 @@ def dataset(spark: SparkSession, args) -> int:
     return 0
 
 
+def show_config(spark: SparkSession, args) -> int:
+    """The configuration with defaults and derived values, or what is wrong with it."""
+    print(json.dumps(config.load(args.config), indent=2, default=str, sort_keys=True))
+    return 0
+
+
+def feature_check(spark: SparkSession, args) -> int:
+    """Columns, finite values and one row per sample of a dataset's features."""
+    data = spark.read.parquet(args.data)
+    view = fusion.view(args.view)
+    errors = checks.view_errors(data, view.names, view.valid)
+    if not errors:
+        bad = checks.finite(fusion.project(data, args.view), view.names).filter("NOT passed").limit(10).collect()
+        errors += [f"values that aren't finite: {r.asDict()}" for r in bad]
+        repeated = data.groupBy("symbol", "prediction_time").count().filter("count > 1").limit(10).collect()
+        errors += [f"repeated prediction time: {r.asDict()}" for r in repeated]
+    for error in checks.distinct_messages(errors):
+        print(error, file=sys.stderr)
+    return 1 if errors else 0
+
+
 def compare(spark: SparkSession, args) -> int:
     """Train each view on the same samples; the test part is never read."""
     folder = new_run_folder(args.out)
+    info = {"status": "RUNNING", "test_status": checks.SEALED}
+    write_json(info, f"{folder}/run_info.json")
+    try:
+        best = evaluate(spark, args, folder)
+    except Exception as problem:
+        write_json(info | {"status": "FAILED", "error": str(problem)[:1000]}, f"{folder}/run_info.json")
+        raise
+    info |= {"status": "COMPLETE", "best": best}
+    errors = checks.sealing_errors(info, os.listdir(folder))
+    write_json(info | ({"status": "FAILED", "error": "; ".join(errors)} if errors else {}), f"{folder}/run_info.json")
+    return 1 if errors else 0
+
+
+def evaluate(spark: SparkSession, args, folder: str) -> dict:
+    """Predictions of every view and the reports on them; returns the best view's row."""
     data = spark.read.parquet(args.data).filter(F.col("split") != "test")
     scored = None
     for name in ("coarse", "fine", "multires"):
@@ -53,8 +92,12 @@ def compare(spark: SparkSession, args) -> int:
     compared = metrics.comparison(scored)
     write_report_csv(compared, f"{folder}/comparison")
     write_report_csv(metrics.incremental(compared, "coarse"), f"{folder}/incremental")
-    write_json({"status": "COMPLETE", "test_status": "SEALED", "best": metrics.best_variant(compared).first().asDict()}, f"{folder}/run_info.json")
-    return 0
+    for name in ("coarse", "fine", "multires"):
+        of = scored.filter(F.col("variant") == name)
+        write_report_csv(metrics.reliability(of), f"{folder}/reliability_{name}")
+        write_report_csv(metrics.confidence(of), f"{folder}/confidence_{name}")
+        write_report_csv(metrics.monthly(of), f"{folder}/monthly_{name}")
+    return metrics.best_variant(compared).first().asDict()
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -62,7 +105,7 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
 
     def command(run, *names: str, **defaults: str):
-        sub = commands.add_parser(run.__name__, help=run.__doc__)
+        sub = commands.add_parser(run.__name__.replace("_", "-"), help=run.__doc__)
         for name in names:
             sub.add_argument(f"--{name}", required=name not in defaults, default=defaults.get(name))
         sub.set_defaults(run=run)
@@ -71,6 +114,8 @@ def main(argv: list[str] | None = None) -> int:
     command(prepare, "raw", "symbol", "interval", "start", "end", "out")
     command(check, "bars", "interval")
     command(dataset, "bars", "fine", "interval", "fine-interval", "out")
+    command(show_config, "config")
+    command(feature_check, "data", "view", view="multires")
     command(compare, "data", "out").add_argument("--trees", type=int, default=50)
     args = parser.parse_args(argv)
     spark = ship(SparkSession.builder.appName("barloom").config("spark.sql.session.timeZone", "UTC").getOrCreate())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_bad
+from .checks import unique
 from .features import align, build, coarse_set, fine_set
 
 SAMPLE = ("sample_id", "prediction_time", "split", "target_up", "label_valid")
@@ -36,7 +37,7 @@ class View:
 def view(name: str) -> View:
     """A view by its name or one of its short names, in any case."""
     short = name.strip().lower().replace("_", "-")
-    if short in ("price-ohlc-v1", "b1-c", "coarse", "c"):
+    if short in ("price-ohlc-v1", "price-coarse-30m-v1", "b1-c", "coarse", "c"):
         return View("coarse", {"coarse": coarse_names()}, ("coarse_feature_valid",))
     if short in ("price-5m-v1", "b1-f", "fine", "f"):
         return View("fine", {"fine": fine_names()}, ("fine_feature_valid", "alignment_valid"))
@@ -75,9 +76,12 @@ def multires(coarse_bars: DataFrame, fine_bars: DataFrame, coarse_minutes: int,
 
 
 def dataset(samples: DataFrame, fused: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Samples with their features; rows without any are kept and never eligible."""
-    flags = VALIDITY[:-1]
-    joined = samples.select(*keys, *SAMPLE).join(fused, [*keys, "prediction_time"], "left")
+    """Samples with their features; rows without any are kept and never eligible.
+
+    A prediction time that is repeated within a series on either side fails the job.
+    """
+    flags, on = VALIDITY[:-1], [*keys, "prediction_time"]
+    joined = unique(samples.select(*keys, *SAMPLE), on, "samples").join(unique(fused, on, "features"), on, "left")
     joined = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})
     eligible = F.coalesce("label_valid", F.lit(False))
     for c in flags[:4]:

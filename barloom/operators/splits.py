@@ -32,10 +32,14 @@ def borders(rows: int, ratios: Ratios, least: int) -> Borders:
 def chronological(samples: DataFrame, ratios: Ratios = Ratios(), purge_minutes: int = 30, key: str = "symbol") -> DataFrame:
     """Samples of one series with ``split``; rows too close to the next part's first sample are purged.
 
+    More than one series is an error: each has borders of its own.
+
     Only the number of rows and the times at two positions come to the driver.
     """
-    n = samples.count()
-    at = borders(n, ratios, 2 if purge_minutes > 0 else 1)
+    per = samples.groupBy(key).count().limit(2).collect()
+    if len(per) > 1:
+        raise ValueError("samples of one series are expected")
+    at = borders(per[0]["count"] if per else 0, ratios, 2 if purge_minutes > 0 else 1)
     rows = with_row_number(samples, (key,), "prediction_time")
     starts = {r.row: r.prediction_time for r in rows.filter(F.col("row").isin(at.train_rows, at.before_test)).select("row", "prediction_time").collect()}
     split = F.when(F.col("row") < at.train_rows, "train").when(F.col("row") < at.before_test, "validation").otherwise("test")
@@ -46,6 +50,18 @@ def chronological(samples: DataFrame, ratios: Ratios = Ratios(), purge_minutes:
     return rows.withColumn("split", split).filter(~purged).drop("row")
 
 
+def full_report(split: DataFrame, valid_samples: DataFrame, ratios: Ratios = Ratios()) -> DataFrame:
+    """The report with three ratios, of the rows kept, of all valid samples and the nominal one, and each part's border.
+
+    ``border`` is the first prediction of the next part, null for the last one.
+    """
+    nominal = F.create_map(*[F.lit(v) for pair in (("train", ratios.train), ("validation", ratios.validation), ("test", ratios.test)) for v in pair])
+    n_valid = valid_samples.agg(F.count("*").alias("n_valid"))
+    following = F.lead("first_prediction").over(Window.partitionBy(F.lit(1)).orderBy("first_prediction"))  # three rows
+    out = report(split).crossJoin(n_valid)
+    return out.select("*", (F.col("n_rows") / F.col("n_valid")).alias("ratio_of_valid"), nominal[F.col("split")].alias("nominal_ratio"), following.alias("border")).drop("n_valid")
+
+
 def report(split: DataFrame) -> DataFrame:
     per = split.groupBy("split").agg(
         F.count("*").alias("n_rows"), F.min("prediction_time").alias("first_prediction"), F.max("prediction_time").alias("last_prediction"), F.max("event_expiry_time").alias("last_expiry"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import bars as bars_ops
 from ..operators import features as feat
-from ..operators import fusion, indicators, labels, lifecycle, metrics, quality, settlement, splits
+from ..operators import checks, fusion, indicators, labels, lifecycle, metrics, quality, settlement, splits
 from ..params import Payout, Ratios, SignalParams
 from ..sources.klines import epoch_times
 from ..sources.tables import tick_bars, ticks
@@ -133,6 +133,32 @@ def preflight_report(spark, sf):
     return quality.preflight(tick_bars(spark, sf, 60, by_type=True), 60)
 
 
+_FAULTY = f"SELECT * FROM ({_BROKEN}) UNION ALL SELECT * FROM ({BT}) WHERE day(open_time) % 11 = 0"
+
+
+def faulty_bars(spark, sf):
+    """Bars with wrong highs and lows on some days, and those of others twice."""
+    bars = tick_bars(spark, sf, 60, by_type=True)
+    day = F.dayofmonth("open_time")
+    broken = bars.withColumns({"high": F.when(day % 5 == 0, F.col("low") - 1).otherwise(F.col("high")), "low": F.when(day % 7 == 0, -1.0).otherwise(F.col("low"))})
+    return broken.unionByName(bars.filter(day % 11 == 0))
+
+
+@query(f"""SELECT a.*, n_gaps, n_irregular, n_missing, n_duplicates + non_finite + non_positive + high_below_body + low_above_body + high_below_low + close_not_after_open = 0 AS passed
+  FROM (SELECT symbol, count(*) AS n_rows, count(*) - count(DISTINCT open_time) AS n_duplicates, min(open_time) AS first_open, max(open_time) AS last_open, {_RULES} FROM ({_FAULTY}) GROUP BY symbol) a
+  JOIN (SELECT symbol, count(*) FILTER (d > 3600) AS n_gaps, count(*) FILTER (d <> 3600) AS n_irregular, sum(greatest(d // 3600 - 1, 0))::BIGINT AS n_missing
+  FROM (SELECT symbol, epoch(open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time))::BIGINT AS d FROM (SELECT DISTINCT symbol, open_time FROM ({_FAULTY}))) GROUP BY symbol) b USING (symbol)""")
+def preflight_of_faulty_bars(spark, sf):
+    return quality.preflight(faulty_bars(spark, sf), 60)
+
+
+@query(f"""SELECT count(*) AS n_rows, count(*) FILTER (open_time IS NULL OR open IS NULL OR close IS NULL OR close_time IS NULL) AS n_nulls,
+  count(*) - count(DISTINCT (symbol, open_time)) AS repeated_opens, count(*) - count(DISTINCT (symbol, close_time)) AS repeated_closes,
+  count(*) = count(DISTINCT (symbol, open_time)) AS passed FROM ({_FAULTY})""")
+def label_input_check(spark, sf):
+    return checks.label_inputs(faulty_bars(spark, sf))
+
+
 _LABEL_DOUBLES = ["event_entry_price", "event_expiry_price"]
 _LABEL_REST = ["symbol", "sample_id", "prediction_time", "event_entry_time", "event_expiry_time", "target_direction::BIGINT AS target_direction", "target_up::BIGINT AS target_up", "label_valid", "invalid_reason"]
 
@@ -182,6 +208,30 @@ def split_report(spark, sf):
     return rounded(splits.report(split30(spark, sf)))
 
 
+@query(f"""SELECT *, lead(first_prediction) OVER (ORDER BY first_prediction) AS border FROM (SELECT split, count(*) AS n_rows, min(prediction_time) AS first_prediction, max(prediction_time) AS last_prediction,
+  max(event_expiry_time) AS last_expiry, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS ratio,
+  round(count(*) / (SELECT count(*) FROM ({L30}) WHERE event_entry_time IS NOT NULL)::DOUBLE, 6) AS ratio_of_valid,
+  CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END::DOUBLE AS nominal_ratio FROM ({S30}) GROUP BY split)""")
+def split_full_report(spark, sf):
+    return rounded(splits.full_report(split30(spark, sf), labels.samples(labels.candidates(b30(spark, sf), 30))))
+
+
+_MIXED = f"SELECT * REPLACE (CASE WHEN hour(prediction_time) = 5 THEN 'test' WHEN hour(prediction_time) = 6 THEN 'other' ELSE split END AS split) FROM ({S30})"
+_ONE = lambda part, c: f"max(CASE WHEN split = '{part}' THEN {c} END)"
+_FIRST = lambda part: f"min(CASE WHEN split = '{part}' THEN prediction_time END)"
+
+
+@query(f"""SELECT count(*) AS n_rows, count(*) - count(DISTINCT prediction_time) AS n_duplicates, count(*) FILTER (prediction_time IS NULL OR event_entry_time IS NULL OR event_expiry_time IS NULL) AS n_nulls,
+  count(*) FILTER (split NOT IN ('train', 'validation', 'test')) AS n_unknown, count(DISTINCT split) FILTER (split IN ('train', 'validation', 'test')) AS n_parts,
+  {_ONE('train', 'prediction_time')} < {_FIRST('validation')} AS train_first, {_ONE('validation', 'prediction_time')} < {_FIRST('test')} AS validation_first,
+  {_ONE('train', 'event_expiry_time')} < {_FIRST('validation')} AS train_apart, {_ONE('validation', 'event_expiry_time')} < {_FIRST('test')} AS validation_apart, false AS passed FROM ({_MIXED})""")
+def split_check_of_mixed_parts(spark, sf):
+    """A split whose hours were dealt to wrong parts."""
+    hour = F.hour("prediction_time")
+    mixed = split30(spark, sf).withColumn("split", F.when(hour == 5, "test").when(hour == 6, "other").otherwise(F.col("split")))
+    return splits.check(mixed)
+
+
 @query(f"SELECT count(*) AS n_rows, 0::BIGINT AS n_duplicates, 0::BIGINT AS n_nulls, 0::BIGINT AS n_unknown, 3::BIGINT AS n_parts, true AS train_first, true AS validation_first, true AS train_apart, true AS validation_apart, true AS passed FROM ({S30})")
 def split_check(spark, sf):
     return splits.check(split30(spark, sf))
@@ -285,6 +335,18 @@ def alignment_contract(spark, sf):
     return quality.alignment_contract(bars_ops.resample(fine, 360), fine, 6, 60)
 
 
+_SIDES = f"SELECT symbol, close_time, count(*) AS n FROM ({B360}) GROUP BY ALL"
+_FINE_SIDE = f"SELECT symbol, close_time, count(*) AS n FROM ({B60}) GROUP BY ALL"
+
+
+@query(f"""SELECT coalesce(sum(c.n), 0)::BIGINT AS left_rows, coalesce(sum(f.n), 0)::BIGINT AS right_rows, count(*) FILTER (f.n IS NULL) AS only_left, count(*) FILTER (c.n IS NULL) AS only_right,
+  coalesce(sum(c.n - 1), 0)::BIGINT AS repeated_left, coalesce(sum(f.n - 1), 0)::BIGINT AS repeated_right,
+  count(*) FILTER (f.n IS NULL OR c.n IS NULL OR c.n > 1 OR f.n > 1) = 0 AS passed FROM ({_SIDES}) c FULL JOIN ({_FINE_SIDE}) f USING (symbol, close_time)""")
+def one_to_one_check(spark, sf):
+    """Close times of coarse and fine bars, of which only some have a counterpart."""
+    return checks.one_to_one(b360(spark, sf), b60(spark, sf), ["symbol", "close_time"])
+
+
 @query("SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second, true AS equal")
 def common_sample_equality(spark, sf):
     data = dataset60(spark, sf)

@@ -32,12 +32,15 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local tests, a
-    temporary folder is made, set as the session's checkpoint directory and removed at exit.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and the session is local,
+    as in tests, a temporary folder is made, set as the checkpoint directory and removed at exit;
+    on a cluster that would be a folder of one machine, so it is an error.
     """
     context = spark.sparkContext
     given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not given:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="barloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
