@@ -44,7 +44,8 @@ class Codec:
         self.unigram, self.unknown = unigram, library.unk_id()
         special = {i for i in size if library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i)}
         names = [library.id_to_piece(i) for i in size]
-        self.scores = np.array([library.get_score(i) for i in size])
+        self.score = [library.get_score(i) for i in size]
+        self.scores = np.array(self.score)
         self.ids = {names[i]: i for i in size if i not in special}
         self.bytes = {int(names[i][3:5], 16): i for i in size if library.is_byte(i)}
         self.raw = [
@@ -53,9 +54,9 @@ class Codec:
         ]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, len(piece), float(self.scores[i])))
+            self.automaton.add_word(piece, (i, len(piece), self.score[i]))
         self.automaton.make_automaton()
-        self.floor = min((float(self.scores[i]) for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
+        self.floor = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         inner = any(MARK in p[1:] and p.strip(MARK) for p in self.ids)
         if not unigram and inner:
             raise ValueError("pieces that span words aren't supported")

@@ -432,3 +432,97 @@ def test_one_shingle_in_thousands_of_unrelated_texts_forms_few_pairs(spark):
     left, right = (ngram_join.with_keys(hot, limit, side).groupBy(keys).count() for side in (True, False))
     met = left.join(right.withColumnRenamed("count", "c"), keys).agg(F.sum(F.col("count") * F.col("c")).alias("n")).first().n
     assert met < 60 * n
+
+
+def test_index_stops_on_proof_only():
+    """Shards of thousands, few vectors left to rescore: the proof decides, not the rescoring of all."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 30, (3000, 24)))
+    x[100:160] = x[7]  # ties
+    ids = rng.permutation(10_000)[:3000]
+    index, read = exact_topk.ImpactIndex(ids, x), []
+    for k in range(0, 3000, 60):
+        got = index.top(int(ids[k]), x[k], 5, rescore=5, read=read)
+        score = (x @ x[k]).astype(np.int64)
+        want = [i for i in np.lexsort((ids, -score)) if i != k][:5]
+        assert got[0].tolist() == ids[want].tolist() and got[1].tolist() == score[want].tolist()
+    assert min(read) < 0.95  # hard: vectors without structure and hardly any left to rescore
+    index.top(int(ids[0]), x[0], 5, read=(usual := []))
+    assert usual[0] < 0.8
+
+
+def test_recall_on_the_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    found = defaultdict(set)
+    for r in vptree_ann.nearest_neighbours(df, 100, 10, 0.5).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = total = 0
+    for k in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[k]) ** 2).sum(1))
+        d[k] = np.inf
+        hit += len(found[ids[k]] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+        total += 10
+    assert hit >= 0.9 * total
+
+
+def test_long_chains_equal_short_ones(monkeypatch):
+    rng = np.random.default_rng(1)
+    counts = np.array([3, 1, 400, 17, 256, 257, 1, 30])
+    e = rng.normal(0, 3, counts.sum())
+    for lane in (256, 3):
+        monkeypatch.setattr(quality_crf, "LANE", lane)
+        for stay in (0.7, 2.5, -1.0):
+            assert np.allclose(quality_crf.line_probabilities(e, counts, stay), quality_crf.marginals(e, counts, stay)[0], atol=1e-12)
+
+
+def test_scores_of_blocks_equal_wide_features(monkeypatch):
+    model = quality_crf.Model(np.random.default_rng(3).normal(size=quality_crf.WIDTH), 1.2, 1.0, 0.0)
+    given = ["a b\nc d!!\n\nx" * 40, "", "one line", "a\nb\nc\na\n", None]
+    for lines, size in ((1 << 15, 1 << 22), (7, 30)):
+        monkeypatch.setattr(quality_crf, "BLOCK_LINES", lines)
+        monkeypatch.setattr(quality_crf, "BLOCK_BYTES", size)
+        scores, length, counts = quality_crf.emissions(model, given)
+        own = np.concatenate([b[0] for b in quality_crf.blocks(given)])
+        assert np.allclose(scores, quality_crf.wide(own, counts) @ model.weights) and counts.tolist() == [121, 1, 1, 5, 1]
+    monkeypatch.undo()
+    scores, length, counts = quality_crf.emissions(model, ["a\n" * 500_000])  # a megabyte of short lines
+    assert 0 <= quality_crf.evidence(scores, length, counts, model.stay)[0] <= 1 and counts[0] == 500_001
+
+
+def test_hits_equal_plain_search_and_stay_linear():
+    lexicon = toxicity.Lexicon({"idio": 2.0, "idiot" + toxicity.END: 3.0, "scum": 1.5, "trash" + toxicity.END: 1.0})
+    found, pick = lexicon.automaton(), random.Random(6)
+    for _ in range(300):
+        text = " ".join(pick.choices(["idiot", "idiots", "vidiot", "scum", "pond scum", "trash", "trash can", "idiot proof", "x", "can", "trashy"], k=pick.randint(0, 12)))
+        excused = {k for p in lexicon.exceptions for m in re.finditer(rf"(?<![^\W_]){p}(?![^\W_])", text) for k in range(m.start(), m.end())}
+        want = 0.0
+        for m in re.finditer(r"[^\W_]+", text):
+            if m.start() not in excused:
+                want += max([w for p, w in lexicon.weights.items() if (m.group() == p.rstrip() if p.endswith(toxicity.END) else m.group().startswith(p))], default=0.0)
+        assert abs(toxicity.hits(found, text)[0] - want) < 1e-9, text
+    assert toxicity.hits(found, "trash can " * 200_000) == (0.0, 0)  # two megabytes; quadratic work would take a quarter of an hour
+
+
+def test_decoding_equals_plain_loss():
+    code = language_id.codewords(4)
+    for seed in range(50):
+        margins = np.random.default_rng(seed).normal(0, 2, code.shape[1])
+        loss = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(row, margins, strict=True)) for row in code]
+        best, p, gap = language_id.decode(margins, code)
+        share = sorted((math.exp(-x) for x in loss), reverse=True)
+        assert best == int(np.argmin(loss)) and abs(p - share[0] / sum(share)) < 1e-9 and abs(gap - (share[0] - share[1]) / sum(share)) < 1e-9
+
+
+def test_best_sum_of_the_public_model(spark, docs):
+    """The ids of the registered path against brute force over all segmentations of its words."""
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(PIECES), False)
+    rows = sentencepiece_codec.encode_decode(docs.filter("length(text) < 1500").limit(20), PIECES).join(docs, "doc_id").collect()
+    for r in rows:
+        marked, best = sentencepiece_codec.MARK + r.text.replace(" ", sentencepiece_codec.MARK), [0.0]
+        for end in range(1, len(marked) + 1):
+            best.append(max([best[s] + codec.scores[codec.ids[marked[s:end]]] for s in range(max(0, end - 20), end) if marked[s:end] in codec.ids], default=best[-1]))
+        known = [i for i in r.best_ids if codec.raw[i] and i not in codec.bytes.values()]
+        assert r.came_back and r.decoded == r.text
+        assert abs(sum(codec.scores[i] for i in known) - best[-1]) < 1e-3 * max(1, abs(best[-1]))
