@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from operator import and_, or_
+from operator import add, and_, or_
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,8 @@ HOT, LEADERS = 32, 8
 SHARED = 3
 #: Columns of 64 parity bits each.
 PARITY = ("p0", "p1", "p2", "p3")
+#: Columns of 64 finer parity bits each, kept once per class and joined to the rows of hot tokens.
+FINE = tuple(f"f{k}" for k in range(16))
 #: Shingles of the texts that one comparison task holds on either side.
 GROUP_SHINGLES = 400_000
 #: Words in a worker's cache before it starts anew, and sets a task remembers to skip copies.
@@ -167,8 +169,8 @@ def frequency_classes(parts: DataFrame) -> np.ndarray:
 def postings(df: DataFrame, size: int, limit: Threshold, classes, clash: frozenset[int]) -> DataFrame:
     """Prefix tokens of the first order: ``token, node, n, pos``, parities; a task skips copies it has seen.
 
-    One more row for each set has ``pos`` -1 and, in ``others``, its prefix tokens under the other
-    orders, folded to 32 bits: equal tokens stay equal.
+    One more row for each set has ``pos`` -1, finer parities and, in ``others``, its prefix tokens
+    under the other orders, folded to 32 bits: equal tokens stay equal.
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, seen = classes.value, set()
@@ -191,18 +193,19 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes, clash: frozens
                 node.append(np.full(p, d)), n.append(np.full(p, len(h))), pos.append(np.arange(p))
                 for column, bits in zip(parity, np.packbits(odd).view(np.int64), strict=True):
                     column.append(np.full(p, bits))
-                sets.append((d, len(h), [(ordered(h, table, k)[: limit.probe(len(h))] >> _U(32)).astype(np.uint32).view(np.int32) for k in range(1, len(ORDERS))]))
+                odd = np.bincount((h >> _U(54)).astype(np.int64), minlength=64 * len(FINE)).astype(np.uint8) & 1
+                sets.append((d, len(h), np.packbits(odd).view(np.int64), [(ordered(h, table, k)[: limit.probe(len(h))] >> _U(32)).astype(np.uint32).view(np.int32) for k in range(1, len(ORDERS))]))
             if token:
                 yield pd.DataFrame({
                     "token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(n).astype(np.int32),
-                    "pos": np.concatenate(pos).astype(np.int32), **{name: np.concatenate(c) for name, c in zip(PARITY, parity, strict=True)}, "others": None,
+                    "pos": np.concatenate(pos).astype(np.int32), **{name: np.concatenate(c) for name, c in zip(PARITY, parity, strict=True)}, **dict.fromkeys(FINE), "others": None,
                 })
                 yield pd.DataFrame({
-                    "token": 0, "node": [d for d, _, _ in sets], "n": np.array([n for _, n, _ in sets], dtype=np.int32), "pos": np.int32(-1),
-                    **dict.fromkeys(PARITY, 0), "others": [o for _, _, o in sets],
+                    "token": 0, "node": [s[0] for s in sets], "n": np.array([s[1] for s in sets], dtype=np.int32), "pos": np.int32(-1),
+                    **dict.fromkeys(PARITY, 0), **dict(zip(FINE, np.stack([s[2] for s in sets]).T, strict=True)), "others": [s[3] for s in sets],
                 })
 
-    return df.select("text").mapInPandas(read, "token long, node long, n int, pos int, " + ", ".join(f"{c} long" for c in PARITY) + ", others array<array<int>>")
+    return df.select("text").mapInPandas(read, "token long, node long, n int, pos int, " + ", ".join(f"{c} long" for c in PARITY + FINE) + ", others array<array<int>>")
 
 
 def share_others(pairs: DataFrame, others: DataFrame, limit: Threshold) -> DataFrame:
@@ -226,6 +229,22 @@ def share_others(pairs: DataFrame, others: DataFrame, limit: Threshold) -> DataF
     return met.select("a", "b", "na", "nb")
 
 
+def unequal_bits(a: str, b: str, columns: tuple[str, ...]) -> Column:
+    """Unequal parity bits: at most as many as there are tokens in one of the two sets only."""
+    return reduce(add, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in columns])
+
+
+def fits_finely(limit: Threshold, a: str, b: str) -> Column:
+    """``fits`` for rows of hot tokens, which have the finer parities too.
+
+    PARITY has so few bits that half of them are fewer than the tokens by which two sets of some
+    hundreds may differ; it tells such sets apart no more.
+    """
+    both = F.col(f"{a}.n").cast("long") + F.col(f"{b}.n")
+    need = F.ceil(both * limit.percent / (100 + limit.percent) - 1e-6)
+    return fits(limit, a, b) & (unequal_bits(a, b, FINE) <= both - 2 * need)
+
+
 def fits(limit: Threshold, a: str, b: str):
     """Length, positional and parity filters for two rows of one token.
 
@@ -239,7 +258,7 @@ def fits(limit: Threshold, a: str, b: str):
     short_first = (na < nb) | ((na == nb) & (F.col(f"{a}.node") < F.col(f"{b}.node")))
     short_pos = F.when(short_first, F.col(f"{a}.pos")).otherwise(F.col(f"{b}.pos"))
     index = shorter - F.ceil(shorter * (2 * p) / (100 + p) - 1e-6) + 1
-    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITY[1:]), F.bit_count(F.col(f"{a}.{PARITY[0]}").bitwiseXOR(F.col(f"{b}.{PARITY[0]}"))))
+    apart = unequal_bits(a, b, PARITY)
     return (
         (shorter * 100 >= longer * p) & (short_pos < index + (SHARED - 1))
         & (F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) >= need - (SHARED - 1)) & (apart <= na + nb - 2 * need)
@@ -409,7 +428,7 @@ def linked_rows(df: DataFrame, percent: int, size: int, id_col: str = "doc_id",
     classes = df.sparkSession.sparkContext.broadcast(frequency_classes(read))
 
     written = materialize(postings(known, size, limit, classes, clash), "postings")
-    first, others = written.filter("pos >= 0").drop("others"), written.filter("pos < 0").select("node", "others")
+    first, others = written.filter("pos >= 0").drop("others", *FINE), written.filter("pos < 0").select("node", "others")
     scratch = [written]
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -432,10 +451,12 @@ def linked_rows(df: DataFrame, percent: int, size: int, id_col: str = "doc_id",
     candidates, edges = as_pairs(within_tokens(first, shared.filter("NOT hot").select("token"), limit)), None
     if shared.filter("hot").head(1):
         tokens = shared.filter("hot").select("token")
-        hot = keep(bitmap_semi_filter(first, "token", tokens).join(tokens, "token").dropDuplicates(["token", "node"]), "lists")
+        hot = bitmap_semi_filter(first, "token", tokens).join(tokens, "token").dropDuplicates(["token", "node"])
+        fine = written.filter("pos < 0").select("node", *FINE).dropDuplicates(["node"])
+        hot = keep(hot.join(fine, "node"), "lists")
         salt = F.pmod(F.xxhash64("node", F.lit("leader")), F.lit(LEADERS))
-        lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", *PARITY)).alias("x")).select("token", "x.*")
-        led = lead.alias("l").join(hot.alias("r"), F.col("l.token") == F.col("r.token")).filter((F.col("l.node") != F.col("r.node")) & fits(limit, "l", "r"))
+        lead = hot.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", *PARITY, *FINE)).alias("x")).select("token", "x.*")
+        led = lead.alias("l").join(hot.alias("r"), F.col("l.token") == F.col("r.token")).filter((F.col("l.node") != F.col("r.node")) & fits_finely(limit, "l", "r"))
         edges = links_of(as_pairs(led).distinct(), "leader")
         grouped = components(edges, "leader-components")
         scratch.append(grouped)
@@ -450,7 +471,7 @@ def linked_rows(df: DataFrame, percent: int, size: int, id_col: str = "doc_id",
         meet = ["token", "apart", "choice", "value"]
         across = with_keys(marked.filter("rest"), limit, True).alias("l").join(
             with_keys(either, limit, False).alias("r"), reduce(and_, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in meet]))
-        across = across.filter((F.col("l.comp") != F.col("r.comp")) & once & meet_once(limit) & fits(limit, "l", "r"))
+        across = across.filter((F.col("l.comp") != F.col("r.comp")) & once & meet_once(limit) & fits_finely(limit, "l", "r"))
         known_comp = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
         parted = candidates.join(known_comp("a"), "a").join(known_comp("b"), "b").filter("comp_a <> comp_b")
         candidates = parted.select("a", "b", "na", "nb").unionByName(as_pairs(across))
