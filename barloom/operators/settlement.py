@@ -88,22 +88,57 @@ def settlement_order():
     return [F.col("settle_bar"), F.desc("event_id")]
 
 
+def _by_day(settled: DataFrame) -> DataFrame:
+    return settled.filter(F.col("result").isin("WIN", "LOSS")).withColumn("__day", F.date_trunc("day", "settle_bar"))
+
+
 def streaks(settled: DataFrame, keys: tuple[str, ...] = ("symbol", "horizon")) -> DataFrame:
-    done = settled.filter(F.col("result").isin("WIN", "LOSS"))
-    all_rows = Window.partitionBy(*keys).orderBy(*settlement_order())
-    same = Window.partitionBy(*keys, "result").orderBy(*settlement_order())
-    runs = done.withColumn("island", F.row_number().over(all_rows) - F.row_number().over(same)).groupBy(*keys, "result", "island").count()
-    longest = lambda r: F.coalesce(F.max(F.when(F.col("result") == r, F.col("count"))), F.lit(0))
-    return runs.groupBy(*keys).agg(longest("WIN").alias("max_wins"), longest("LOSS").alias("max_losses"))
+    """The longest runs of wins and of losses.
+
+    Runs are found within days. Only a day's first and last run can go on in another day, so only
+    those are put together over the whole series; a task sorts one day, or two rows a day.
+    """
+    day = Window.partitionBy(*keys, "__day").orderBy(*settlement_order())
+    turned = F.coalesce(F.col("result") != F.lag("result").over(day), F.lit(True)).cast("int")
+    rows = _by_day(settled).withColumn("turned", turned)
+    runs = rows.withColumn("run", F.sum("turned").over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*keys, "__day", "run", "result").agg(F.count("*").alias("n"))
+    runs = runs.withColumn("last", F.max("run").over(Window.partitionBy(*keys, "__day")))
+    inner = F.col("run").between(2, F.col("last") - 1)
+    edge = F.struct("run", "result", "n")
+    days = runs.groupBy(*keys, "__day").agg(
+        F.max("last").alias("last"), F.array_sort(F.collect_list(F.when(~inner, edge))).alias("edges"),
+        *[F.max(F.when(inner & (F.col("result") == r), F.col("n"))).alias(f"inner_{r}") for r in ("WIN", "LOSS")],
+    )
+    ends = days.select(*keys, "__day", "last", "inner_WIN", "inner_LOSS", F.explode("edges").alias("e")).select("*", "e.*").drop("e")
+    series = Window.partitionBy(*keys).orderBy("__day", "run")
+    # The last of three or more runs of a day follows a run that is no edge.
+    fresh = F.coalesce(F.col("result") != F.lag("result").over(series), F.lit(True)) | ((F.col("run") == F.col("last")) & (F.col("last") > 2))
+    joined = ends.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = joined.groupBy(*keys, "island", "result").agg(F.sum("n").alias("n"), F.max("inner_WIN").alias("inner_WIN"), F.max("inner_LOSS").alias("inner_LOSS"))
+    longest = lambda r: F.coalesce(F.greatest(F.max(F.when(F.col("result") == r, F.col("n"))), F.max(f"inner_{r}")), F.lit(0))
+    return whole.groupBy(*keys).agg(longest("WIN").alias("max_wins"), longest("LOSS").alias("max_losses"))
 
 
 def drawdown(settled: DataFrame, keys: tuple[str, ...] = ("symbol", "horizon")) -> DataFrame:
-    """Final equity and the deepest fall from its peak, which starts at 0."""
-    done = settled.filter(F.col("result").isin("WIN", "LOSS"))
-    w = Window.partitionBy(*keys).orderBy(*settlement_order()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = done.withColumn("equity", F.sum("pnl").over(w))
-    rows = rows.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(w)))
-    return rows.groupBy(*keys).agg(F.sum("pnl").alias("net_pnl"), F.max("peak").alias("peak_equity"), F.max(F.col("peak") - F.col("equity")).alias("max_drawdown"))
+    """Final equity and the deepest fall from its peak, which starts at 0.
+
+    A day is summed up on its own by its total, its highest and lowest equity and its deepest fall
+    inside; equity and peak before it come from one row a day.
+    """
+    day = Window.partitionBy(*keys, "__day").orderBy(*settlement_order()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _by_day(settled).withColumn("equity", F.sum("pnl").over(day))
+    rows = rows.withColumn("fall", F.max("equity").over(day) - F.col("equity"))
+    days = rows.groupBy(*keys, "__day").agg(
+        F.sum("pnl").alias("total"), F.max("equity").alias("top"), F.min("equity").alias("low"), F.max("fall").alias("fall"),
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
+    days = days.withColumn("peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("base") + F.col("top")).over(earlier), F.lit(0.0))))
+    deepest = F.greatest(F.col("fall"), F.col("peak") - F.col("base") - F.col("low"))
+    return days.groupBy(*keys).agg(
+        F.sum("total").alias("net_pnl"), F.greatest(F.lit(0.0), F.max(F.col("base") + F.col("top"))).alias("peak_equity"), F.max(deepest).alias("max_drawdown"),
+    )
 
 
 def timing(settled: DataFrame, keys: tuple[str, ...] = ("symbol", "horizon")) -> DataFrame:

@@ -44,3 +44,30 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_streaks_and_drawdown_over_days(spark):
+    """Runs and falls that go over midnight, against a loop over the whole series."""
+    import random
+
+    from barloom.operators import settlement
+
+    dice, rows, wanted = random.Random(5), [], {}
+    for horizon, odds in ((30, 0.5), (60, 0.9), (90, 0.0), (120, 1.0)):
+        start, equity, peak, fall, run, before, best = dt.datetime(2024, 1, 1), 0.0, 0.0, 0.0, 0, None, {"WIN": 0, "LOSS": 0}
+        for k in range(200):
+            result = "WIN" if dice.random() < odds else "LOSS"
+            start += dt.timedelta(minutes=dice.choice((0, 30, 300, 3000)))
+            pnl = 0.8 if result == "WIN" else -1.0
+            rows.append(("A", horizon, 1000 - k, result, start, pnl))
+            equity += pnl
+            peak = max(peak, equity)
+            fall = max(fall, peak - equity)
+            run = run + 1 if result == before else 1
+            before, best[result] = result, max(best[result], run)
+        wanted[horizon] = (best["WIN"], best["LOSS"], round(equity, 6), round(peak, 6), round(fall, 6))
+    rows.append(("A", 30, 1, "ACTIVE", None, None))
+    given = spark.createDataFrame(rows, "symbol string, horizon int, event_id long, result string, settle_bar timestamp, pnl double")
+    both = settlement.streaks(given).join(settlement.drawdown(given), ["symbol", "horizon"]).collect()
+    assert {r.horizon: (r.max_wins, r.max_losses, round(r.net_pnl, 6), round(r.peak_equity, 6), round(r.max_drawdown, 6)) for r in both} == wanted
+    assert settlement.streaks(given.limit(0)).count() == settlement.drawdown(given.limit(0)).count() == 0
