@@ -9,6 +9,9 @@ from ..functions.scalar import clip_probability, div
 
 THRESHOLDS = (0.55, 0.575, 0.60, 0.625, 0.65, 0.675, 0.70)
 
+#: Equal ranges of p; narrow, as real models put nearly all p close to 0.5. So many totals fit one task.
+RANGES = 1 << 20
+
 
 def auc(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; 0.5 with one class.
@@ -17,7 +20,7 @@ def auc(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     no grouping it runs within ranges of p whose totals are added before: no task sorts everything.
     """
     tied = df.groupBy(*by, "p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    tied = tied.withColumn("__cut", F.floor(F.col("p") * 1024))
+    tied = tied.withColumn("__cut", F.floor(F.col("p") * RANGES))
     totals = tied.groupBy(*by, "__cut").agg(F.sum("neg").alias("__n"))
     order = Window.partitionBy(*(by or (F.lit(1),))).orderBy("__cut")
     below = totals.select(*by, "__cut", (F.sum("__n").over(order) - F.col("__n")).alias("__below"))
