@@ -48,13 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
     This cuts the lineage: the rows survive the loss of any executor and are computed once.
-    ``discard`` removes them again.
+    ``discard`` removes them again; what a result still reads goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._barloom_folder = path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return written
 
 

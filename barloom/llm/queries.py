@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_batches
-from . import license_scan
+from . import fill_middle, license_scan, prefix_trie, secret_scan
 from .exact_topk import exact_top_k
 from .language_id import identify_language
 from .ngram_join import ngram_join
@@ -97,6 +97,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every transformed text, and of the text rebuilt from it."""
+    text_batches(spark)
+    made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    again = made.withColumn("restored", fill_middle.restored(F.col("output"), F.col("form")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return again.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_quality_crf": op2_quality_crf,
@@ -108,6 +127,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vptree_ann": op8_vptree_ann,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op7_ngram_join": OP7_SQL, "op9_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": OP1_SQL, "op7_ngram_join": OP7_SQL, "op9_license_scan": license_scan.oracle_sql(),
+    "op11_secret_scan": secret_scan.oracle_sql(), "op12_fill_middle": fill_middle.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL,
+}
