@@ -46,6 +46,11 @@ def settle(entries: DataFrame, observations: DataFrame, bars: DataFrame, payout:
     better wins, equality loses. An event is unresolved when a bar has opened after the due time
     and no observation came in the bars up to it; it is active as long as none has.
     """
+    return settle_with_ends(entries, observations, bars, payout, minutes, keys).drop("done_bar")
+
+
+def settle_with_ends(entries: DataFrame, observations: DataFrame, bars: DataFrame, payout: Payout = Payout(), minutes: tuple[int, ...] = HORIZONS, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``settle`` and ``done_bar``, the bar in which an event was settled or given up; null while it is active."""
     due = horizons(entries, minutes)
     seen = observations.withColumn("bar", F.col("bar_open"))
     hit = first_at_or_after(due, "target_time", seen, "obs_time", ["close", "bar"], keys)
@@ -63,9 +68,44 @@ def settle(entries: DataFrame, observations: DataFrame, bars: DataFrame, payout:
         F.when(done, F.col("settle_bar")).alias("settle_bar"),
         F.when(F.col("result") == "WIN", F.lit(payout.win)).when(F.col("result") == "LOSS", F.lit(payout.loss)).alias("pnl"),
         F.when(done, seconds_between(F.col("target_time"), F.col("settled_time"))).alias("timing_error_seconds"),
+        F.when(done, F.col("settle_bar")).when(F.col("result") == "UNRESOLVED", F.col("next_open")).alias("done_bar"),
     )
 
 
+def active_counts(settled: DataFrame, keys: tuple[str, ...] = ("symbol",), entry: str = "entry_time") -> DataFrame:
+    """``keys, time, n_active`` after each change: an event is active from its entry to the bar in which its last horizon is done.
+
+    ``settled`` is ``settle_with_ends``'s. What ends in a bar is gone before what is entered at its
+    time. A sweep over one +1 and one -1 per event: changes of a day are summed within it, and the
+    day begins with what the totals of earlier days leave, one row each, so no task sorts a series.
+    """
+    events = settled.groupBy(*keys, "event_id", entry).agg(F.max("done_bar").alias("end"), F.count_if(F.col("done_bar").isNull()).alias("open"))
+    change = F.struct(F.col(entry).alias("time"), F.lit(1).alias("delta"))
+    gone = F.struct(F.greatest("end", entry).alias("time"), F.lit(-1).alias("delta"))
+    changes = events.select(*keys, F.explode(F.when(F.col("open") == 0, F.array(change, gone)).otherwise(F.array(change))).alias("c")).select(*keys, "c.*")
+    changes = changes.groupBy(*keys, "time").agg(F.sum(F.when(F.col("delta") < 0, F.col("delta")).otherwise(0)).alias("less"), F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(0)).alias("more"))
+    changes = changes.withColumns({"__day": F.date_trunc("day", "time"), "delta": F.col("less") + F.col("more")})
+    within = Window.partitionBy(*keys, "__day").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = changes.groupBy(*keys, "__day").agg(F.sum("delta").alias("total"))
+    days = days.select(*keys, "__day", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    swept = changes.withColumn("n", F.sum("delta").over(within)).join(days, [*keys, "__day"])
+    return swept.select(*keys, "time", (F.col("base") + F.col("n")).alias("n_active"))
+
+
+def active_peak(settled: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``keys, max_active, reached``: the largest number of active events and when it was first reached."""
+    counts = active_counts(settled, keys)
+    return counts.groupBy(*keys).agg(F.max("n_active").alias("max_active"), F.min_by("time", F.struct(-F.col("n_active"), "time")).alias("reached"))
+
+
+def check_active_limit(settled: DataFrame, limit: int = 100, keys: tuple[str, ...] = ("symbol",)) -> None:
+    """Fail if more than ``limit`` events of a series are ever active at once, naming the first few series."""
+    over = active_peak(settled, keys).filter(F.col("max_active") > limit).orderBy(*keys).limit(10).collect()
+    if over:
+        raise ValueError(f"more than {limit} active events: " + ", ".join(f"{'/'.join(str(r[k]) for k in keys)} has {r.max_active} at {r.reached}" for r in over))
+
+
 def seconds_between(a: Column, b: Column) -> Column:
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
     return (micros(b) - micros(a)) / 1e6

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -519,8 +520,8 @@ def mode_statistics(spark, sf):
     )
 
 
-def settled30(spark, sf):
-    """Made-up entries at the open of every seventh 30 minute bar, settled on 5 minute closes."""
+def settlement_input30(spark, sf):
+    """Made-up entries at the open of every seventh 30 minute bar, 5 minute closes, and the bars."""
     bars = tick_bars(spark, sf, 30, by_type=True)
     minute = F.unix_timestamp(F.col("open_time").cast("timestamp")) / 1800
     k = F.pmod(F.floor(minute), F.lit(7))
@@ -530,7 +531,11 @@ def settled30(spark, sf):
     )
     fine = tick_bars(spark, sf, 5, by_type=True)
     seen = fine.select("symbol", F.col("close_time").alias("obs_time"), "close", bars_ops.bucket(F.col("open_time"), 30).cast("timestamp_ntz").alias("bar_open"))
-    return settlement.settle(entries, seen, bars, Payout())
+    return entries, seen, bars
+
+
+def settled30(spark, sf):
+    return settlement.settle(*settlement_input30(spark, sf), Payout())
 
 
 SETTLED = f"""WITH bars AS ({sql.bars(30, True)}), obs AS (SELECT symbol, close_time AS obs_time, close, time_bucket(INTERVAL '30 minutes', open_time, TIMESTAMP '1970-01-01') AS bar_open FROM ({sql.bars(5, True)})),
@@ -583,6 +588,18 @@ def timing_error(spark, sf):
     return rounded(settlement.timing(settled30(spark, sf)))
 
 
+_CHANGES = """SELECT symbol, entry_time AS time, 1 AS delta FROM settled WHERE horizon = 30
+  UNION ALL SELECT symbol, max(done_bar), -1 FROM (SELECT *, CASE WHEN result = 'UNRESOLVED' THEN next_open ELSE settle_bar END AS done_bar FROM ended) GROUP BY symbol, event_id HAVING count(done_bar) = 2"""
+
+
+@query(f"""{SETTLED}, ended AS (SELECT res.symbol, res.event_id, res.result, res.next_open, CASE WHEN res.result IN ('WIN', 'LOSS') THEN res.bar_open END AS settle_bar FROM res),
+  n AS (SELECT symbol, time, sum(sum(delta)) OVER (PARTITION BY symbol ORDER BY time) AS n FROM ({_CHANGES}) GROUP BY symbol, time)
+  SELECT symbol, max(n)::BIGINT AS max_active, arg_min(time, (-n, time)) AS reached FROM n GROUP BY symbol""")
+def active_event_peak(spark, sf):
+    """The largest number of events that are active at once, which a limit is held against."""
+    return settlement.active_peak(settlement.settle_with_ends(*settlement_input30(spark, sf), Payout()))
+
+
 @query("SELECT stake, winning_return, winning_return - stake AS win, -stake AS loss, round(stake / winning_return, 6) AS break_even FROM (VALUES (5.0::DOUBLE, 9.25::DOUBLE), (10.0, 18.5)) v(stake, winning_return)")
 def payout_table(spark, sf):
     return rounded(settlement.payout_table(spark, [Payout(5.0, 9.25), Payout(10.0, 18.5)]))
@@ -614,15 +631,51 @@ def stream_dedupe(spark, sf):
   SELECT symbol, event_id, h::BIGINT AS horizon, CASE WHEN (p - price) * direction > 0 THEN 'WIN' ELSE 'LOSS' END AS result, round(p, 6) AS settle_price, t AS settled_time,
   CASE WHEN (p - price) * direction > 0 THEN 4.25 ELSE -5.0 END::DOUBLE AS pnl FROM d ASOF JOIN o ON d.symbol = o.s AND d.target <= o.t""")
 def stream_settlement(spark, sf):
-    """Every fiftieth event is an entry, the others are observations of its symbol."""
-    events = _events_stream(spark, sf)
+    """Every fiftieth event is an entry, the others are observations of its symbol.
+
+    What the stream has closed with an observation stays as it is; entries that are still open when
+    the feed ends, or had none in time, are settled from the table.
+    """
+    closed = jobs.run_available(jobs.live_settlement(_feed(_events_stream(spark, sf)), limit=360), "stream-settlement").filter("result <> 'UNRESOLVED'")
+    feed = _feed(spark.read.parquet(f"{sf}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
+    due = settlement.horizons(feed.filter("event_id IS NOT NULL"), time="ts")
+    still = due.join(closed.select("symbol", "event_id", "horizon"), ["symbol", "event_id", "horizon"], "left_anti")
+    late = settlement.first_at_or_after(still, "target_time", feed.filter("event_id IS NULL").drop("event_id", "direction"), "ts", ["price"]).filter("observed_time IS NOT NULL")
+    won = (F.col("observed_price") - F.col("price")) * F.col("direction") > 0
+    late = late.select(
+        "symbol", "event_id", "horizon", F.when(won, "WIN").otherwise("LOSS").alias("result"), F.col("observed_price").alias("settle_price"), F.col("observed_time").alias("settled_time"),
+        F.when(won, Payout().win).otherwise(Payout().loss).alias("pnl"),
+    )
+    rows = closed.drop("target_time").unionByName(late)
+    return rounded(rows.withColumn("settled_time", F.col("settled_time").cast("timestamp_ntz")))
+
+
+def _feed(events: DataFrame) -> DataFrame:
     entry = F.col("event_id") % 50 == 0
-    feed = events.select(
+    return events.select(
         F.col("event_type").alias("symbol"), "ts", F.when(entry, F.col("event_id")).alias("event_id"),
         F.when(entry, F.when(F.col("event_id") % 100 == 0, 1).otherwise(-1)).alias("direction"), (F.lit(100.0) + F.col("value")).alias("price"),
     )
-    rows = jobs.run_available(jobs.stream_settlement(feed), "stream-settlement")
-    return rounded(rows.withColumn("settled_time", F.col("settled_time").cast("timestamp_ntz")))
+
+
+@query("""WITH e AS (SELECT event_type AS symbol, event_id, ts, 100.0 + value AS price, event_id % 50 = 0 AS entry, CASE WHEN event_id % 100 = 0 THEN 1 ELSE -1 END AS direction FROM events),
+  d AS (SELECT symbol, event_id, ts, price, direction, h, ts + h * INTERVAL 1 MINUTE AS target FROM e CROSS JOIN (VALUES (30), (60)) x(h) WHERE entry),
+  o AS (SELECT symbol AS s, ts AS t, price AS p FROM e WHERE NOT entry),
+  j AS (SELECT d.*, CASE WHEN t <= target + INTERVAL 30 MINUTES THEN t END AS t, CASE WHEN t <= target + INTERVAL 30 MINUTES THEN p END AS p FROM d ASOF LEFT JOIN o ON d.symbol = o.s AND d.target <= o.t)
+  SELECT symbol, event_id, h::BIGINT AS horizon, target AS target_time, CASE WHEN t IS NULL THEN 'UNRESOLVED' WHEN (p - price) * direction > 0 THEN 'WIN' ELSE 'LOSS' END AS result, round(p, 6) AS settle_price,
+  t AS settled_time, CASE WHEN t IS NULL THEN NULL WHEN (p - price) * direction > 0 THEN 4.25 ELSE -5.0 END::DOUBLE AS pnl FROM j
+  WHERE target + INTERVAL 30 MINUTES < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def live_settlement(spark, sf):
+    """The same feed in parts of some days, as it comes: rows are up to 49 minutes late and out of order within a part."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    came = F.col("ts") + F.make_dt_interval(mins=F.pmod("event_id", F.lit(50)).cast("int"))
+    rows = events.withColumn("part", F.floor(F.dayofmonth(came) / 8)).select("part", "event_id", "ts", "event_type", "value")
+    at = f"{jobs.shared_dir(spark)}/live-feed-{uuid.uuid4().hex}"
+    for part in range(4):  # one file after the other, as a feed leaves them
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(at)
+    found = jobs.run_available(jobs.live_settlement(_feed(stream), delay="1 hour"), "live-settlement")
+    return rounded(found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("target_time", "settled_time")}))
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:

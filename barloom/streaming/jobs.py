@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..params import Payout
 from ..session import shared_dir
@@ -28,47 +27,50 @@ def stream_distinct(ticks: DataFrame, ids: list[str], delay: str = "10 minutes",
     return ticks.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(ids)
 
 
-SETTLED = "symbol string, event_id long, horizon int, result string, settle_price double, settled_time timestamp, pnl double"
-_STATE = "due array<struct<event_id:bigint,horizon:int,target:double,price:double,direction:int>>"
+def live_settlement(
+    feed: DataFrame, payout: Payout = Payout(), horizons: tuple[int, ...] = (30, 60), limit: int = 30, delay: str = "10 minutes", keys: tuple[str, ...] = ("symbol",),
+) -> DataFrame:
+    """Results of events as they fall due, from one feed of entries and observations, each sent once.
 
+    ``feed``: keys, ts, event_id (null for an observation), direction, price. The first observation
+    from the due time to ``limit`` minutes after it settles, by its own time and not by when it came:
+    strictly better wins, equality loses. An event without any is ``UNRESOLVED``. A result goes out
+    when no observation of its time can come any more, so rows that are late by less than ``delay``
+    count and their order doesn't matter. An entry that comes twice is one event.
 
-def stream_settlement(feed: DataFrame, payout: Payout = Payout(), horizons: tuple[int, ...] = (30, 60), delay: str = "10 minutes") -> DataFrame:
-    """Results of events as they fall due, from one feed of entries and observations.
-
-    ``feed``: symbol, ts, event_id (null for an observation), direction, price. Within a batch rows
-    are taken in time order, entries before observations of the same moment. The first observation
-    at or after a due time settles it: strictly better wins, equality loses.
+    A horizon is an interval join on keys and a bucket of time, then one group an event. The
+    watermark of the join is behind by what it may still give, so a group closes right after its last
+    match; state holds what is younger than horizon, limit and delay together, and a busy series is
+    spread over its buckets.
+    """
+    rows = feed.select(*keys, F.col("ts").cast("timestamp").alias("ts"), "event_id", "direction", F.col("price").cast("double").alias("price")).withWatermark("ts", delay)
+    bucket = lambda t: F.floor(F.unix_timestamp(t) / (60 * limit))
+    seen = rows.filter("event_id IS NULL").select(*[F.col(k).alias(f"seen_{k}") for k in keys], F.col("ts").alias("seen_time"), F.col("price").alias("seen_price"), bucket(F.col("ts")).alias("seen_bucket"))
+    found = []
+    for h in horizons:
+        target = F.col("ts") + F.expr(f"INTERVAL {h} MINUTES")
+        last = F.col("ts") + F.expr(f"INTERVAL {h + limit} MINUTES")
+        due = rows.filter("event_id IS NOT NULL").withColumn("bucket", F.explode(F.sequence(bucket(target), bucket(last))))
+        same = reduce(and_, [F.col(k) == F.col(f"seen_{k}") for k in keys], F.col("bucket") == F.col("seen_bucket"))
+        met = due.join(seen, same & (F.col("seen_time") >= target) & (F.col("seen_time") <= last), "leftOuter")
+        first = met.groupBy(*keys, "event_id", "direction", "price", "ts").agg(F.min_by(F.struct("seen_time", "seen_price"), "seen_time").alias("first"))
+        move = F.signum((F.col("first.seen_price") - F.col("price")) * F.col("direction"))
+        result = F.when(F.col("first").isNull(), "UNRESOLVED").when(move > 0, "WIN").otherwise("LOSS")
+        found.append(first.select(
+            *keys, F.col("event_id").cast("long").alias("event_id"), F.lit(h).alias("horizon"), target.alias("target_time"), result.alias("result"),
+            F.col("first.seen_price").alias("settle_price"), F.col("first.seen_time").alias("settled_time"),
+            F.when(result == "WIN", F.lit(payout.win)).when(result == "LOSS", F.lit(payout.loss)).alias("pnl"),
+        ))
+    return reduce(DataFrame.unionByName, found)
+
+
+def run_available(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """All results a stream has for the input there is, as a table written to the shared folder.
+
+    ``at`` is the folder of state and rows; a later run with the same one goes on where the last one stopped.
     """
-    def settle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due = [tuple(d) for d in state.get[0]] if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["ts", "kind"], kind="stable") if not state.hasTimedOut else pd.DataFrame()
-        out = []
-        for row in rows.itertuples(index=False):
-            now = row.ts.timestamp()
-            if row.kind == 0:
-                due += [(int(row.event_id), h, now + 60.0 * h, float(row.price), int(row.direction)) for h in horizons]
-                continue
-            ready = [d for d in due if d[2] <= now]
-            due = [d for d in due if d[2] > now]
-            for event_id, horizon, _, price, direction in ready:
-                won = (row.price - price) * direction > 0
-                out.append((key[0], event_id, horizon, "WIN" if won else "LOSS", float(row.price), row.ts, payout.win if won else payout.loss))
-        if due:
-            state.update((due,))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", "event_id", "horizon", "result", "settle_price", "settled_time", "pnl"])
-
-    rows = feed.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("kind", F.when(F.col("event_id").isNull(), 1).otherwise(0))
-    marked = rows.withWatermark("ts", delay)
-    return marked.groupBy("symbol").applyInPandasWithState(settle, SETTLED, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """All results a stream has for the input there is, as a table written to the shared folder."""
     spark: SparkSession = stream.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = at or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").trigger(availableNow=True).start()
     )
