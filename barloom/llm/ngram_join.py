@@ -16,7 +16,7 @@
    compared afterwards, so a large group of near copies isn't expanded into all its pairs, and yet
    every pair that could join two components is compared. Those meet by more than the token: short
    sets by as many equal words of parity bits as the difference they may have leaves, long ones by
-   length.
+   classes of both sizes, of which each set names only those that its place of the token leaves.
 """
 
 from __future__ import annotations
@@ -280,32 +280,58 @@ def within_tokens(first: DataFrame, tokens: DataFrame, limit: Threshold) -> Data
 CHOICES = {apart: list(combinations(PARITY, len(PARITY) - apart)) for apart in range(len(PARITY))}
 
 
+def partner_sizes(rows: DataFrame, limit: Threshold) -> DataFrame:
+    """Rows with ``least`` and ``most``, the sizes of sets that can still link at this posting; none without any.
+
+    Behind its place a set has too few tokens left for a much larger partner, so a token that comes
+    late has a small range, and one of a passage that many otherwise different texts share none.
+    """
+    n, p = F.col("n").cast("long"), limit.percent
+    reach = F.floor((n - F.col("pos") + SHARED - 1) * (100 + p) / p - n + 1e-6)
+    sized = rows.withColumns({"least": F.ceil(n * p / 100 - 1e-6), "most": F.least(F.floor(n * 100 / p + 1e-6), reach)})
+    return sized.filter("least <= most")
+
+
+#: Sizes of one class lie within this ratio; more classes than there are.
+CLASS_WIDTH, CLASSES = 1.03, 1 << 12
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / np.log(CLASS_WIDTH) + 1e-9).cast("long")
+
+
 def with_keys(rows: DataFrame, limit: Threshold, left: bool) -> DataFrame:
     """Rows of hot tokens, once for each key ``apart, choice, value`` by which they meet others.
 
     Sets that may differ by d tokens only have at most d unequal words of parity bits, so one choice
-    of the remaining words is equal. Sets that may differ by more meet by classes of length.
+    of the remaining words is equal. Sets that may differ by more meet by the classes of both sizes:
+    each names its own and those of the partners it can still have; choice 0 if the left one is the shorter.
     """
-    p, many = limit.percent, len(PARITY)
+    rows, p, many = partner_sizes(rows, limit), limit.percent, len(PARITY)
     last = max(s for s in range(2, 100 * many) if limit.apart(s) < many)
-    n = F.col("n").cast("long")
-    least, most = n + F.ceil(n * p / 100 - 1e-6), n + F.floor(n * 100 / p + 1e-6)
-    apart = lambda s: F.least(s - 2 * F.ceil(s * p / (100 + p) - 1e-6), F.lit(many).cast("long"))
-    kinds = F.when(least <= last, F.array_distinct(F.transform(F.sequence(least, F.least(most, F.lit(10 * last).cast("long"))), apart))).otherwise(F.array(F.lit(many).cast("long")))
-    grade = F.floor(F.log(n.cast("double")) / np.log(100 / p)).cast("long")
+    n, own = F.col("n").cast("long"), size_class(F.col("n"))
+    apart = lambda s: s - 2 * F.ceil(s * p / (100 + p) - 1e-6)
+    small = F.least(F.col("most"), last - n)
+    none = F.array().cast("array<bigint>")
+    kinds = F.array_distinct(F.transform(F.when(F.col("least") <= small, F.sequence(n + F.col("least"), n + small)).otherwise(none), apart))
     key = lambda d, k, value: F.struct(F.lit(d).alias("apart"), F.lit(k).alias("choice"), value.alias("value"))
-    lengths = F.array(*[key(many, 0, grade + step) for step in ((-1, 0, 1) if left else (0,))])
-    keys = F.when(F.array_contains(kinds, F.lit(many).cast("long")), lengths).otherwise(F.slice(lengths, 1, 0))
+    upto = lambda low, high: F.when(low <= high, F.sequence(size_class(low), size_class(high))).otherwise(none)
+    longer, shorter = upto(F.greatest(n, "least"), F.col("most")), upto(F.col("least"), F.least(n, F.col("most")))
+    keys = F.concat(
+        F.transform(longer, lambda c: key(many, 0 if left else 1, own * CLASSES + c)), F.transform(shorter, lambda c: key(many, 1 if left else 0, c * CLASSES + own)))
+    keys = F.when(n + F.col("most") > last, keys).otherwise(F.slice(keys, 1, 0))
     for d, choices in CHOICES.items():
         some = F.array(*[key(d, k, F.xxhash64(*choice)) for k, choice in enumerate(choices)])
         keys = F.concat(keys, F.when(F.array_contains(kinds, F.lit(d).cast("long")), some).otherwise(F.slice(some, 1, 0)))
     return rows.withColumn("key", F.explode(keys)).select("*", "key.*").drop("key")
 
 
-def meet_once(limit: Threshold):
-    """That two rows with equal keys differ as much as the key says, and that it is their first equal choice."""
-    both = F.col("l.n").cast("long") + F.col("r.n")
-    right = F.least(both - 2 * F.ceil(both * limit.percent / (100 + limit.percent) - 1e-6), F.lit(len(PARITY)).cast("long")) == F.col("l.apart")
+def meet_once(limit: Threshold) -> Column:
+    """That two rows with equal keys differ as much as the key says, and that it is the one key they are to meet by."""
+    both, many = F.col("l.n").cast("long") + F.col("r.n"), len(PARITY)
+    right = F.least(both - 2 * F.ceil(both * limit.percent / (100 + limit.percent) - 1e-6), F.lit(many).cast("long")) == F.col("l.apart")
+    left_first = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node")))
+    right &= (F.col("l.apart") < many) | (left_first == (F.col("l.choice") == 0))
     equal = lambda choice: reduce(and_, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in choice])
     for d, choices in CHOICES.items():
         for k in range(1, len(choices)):
