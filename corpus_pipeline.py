@@ -51,9 +51,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text_batches(spark)
     rows = ngram_join.linked_rows(docs, percent=80, size=5).filter("id IS NOT NULL")
     first = rows.filter("linked IS NOT NULL").groupBy("linked").agg(F.min(F.struct("id", "key")).alias("first")).select("first.*")
-    kept = first.unionByName(rows.filter("linked IS NULL").select("id", "key"))
+    kept = first.unionByName(rows.filter("linked IS NULL").select("id", "key")).toDF("__id", "__kept")
     keyed = docs.withColumn("__key", ngram_join.text_key("text"))
-    found = keyed.join(kept, (F.col("doc_id") == F.col("id")) & (F.col("__key") == F.col("key")), "left_semi")
+    found = keyed.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
     return found.dropDuplicates(["doc_id", "__key"]).drop("__key").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
