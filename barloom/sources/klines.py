@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as bars_ops
-from ..operators.quality import assert_preflight
+from ..operators.quality import assert_preflight, gaps, preflight
 from ..schemas import BAR_COLUMNS, PRICES
-from .archives import zip_lines
+from ..session import shared_dir
+from .archive_source import read_archives
+from .files import delete, write_text
 
 #: Numbers from here on are milliseconds, smaller ones seconds.
 MILLIS_FROM = 1e11
@@ -65,12 +70,45 @@ def assert_parsed(parsed: DataFrame) -> None:
         raise ValueError("cells that cannot be read: " + "; ".join(f"{r.file} {r.member}" for r in bad))
 
 
-def prepare(spark: SparkSession, pattern: str, symbol: str, minutes: int, start: str, end: str, target: str) -> int:
-    """Archives to one checked Parquet table of bars; returns how many repeated bars were dropped."""
-    parsed = parse_lines(zip_lines(spark, pattern))
-    assert_parsed(parsed)
-    bars, dropped = bars_ops.merge(parsed.select(F.lit(symbol).alias("symbol"), *BAR_COLUMNS))
-    bars = bars_ops.date_range(bars, start, end)
-    assert_preflight(bars, minutes)
-    bars.repartitionByRange("open_time").sortWithinPartitions("open_time").write.mode("overwrite").parquet(target)
-    return dropped
+def prepare(
+    spark: SparkSession, root: str, symbol: str, minutes: int, start: str, end: str, target: str, report: str | None = None, checksum: str = "required", source: dict | None = None,
+) -> int:
+    """Archives to one checked Parquet table of bars and a JSON report; returns how many repeated bars were dropped.
+
+    Each archive of the dates is read, verified and parsed once; everything after that reads what was parsed.
+    """
+    staged = f"{shared_dir(spark)}/parsed-{uuid.uuid4().hex}"
+    try:
+        read_archives(spark, root, start, end, checksum).write.parquet(staged)
+        parsed = spark.read.parquet(staged)
+        assert_parsed(parsed)
+        bars, dropped = bars_ops.merge(parsed.select(F.lit(symbol).alias("symbol"), *BAR_COLUMNS))
+        bars = bars_ops.date_range(bars, start, end)
+        bars.repartitionByRange("open_time").sortWithinPartitions("open_time").write.mode("overwrite").parquet(f"{staged}/bars")
+        bars = spark.read.parquet(f"{staged}/bars")
+        if not bars.head(1):
+            raise ValueError(f"no bar of {start} to {end} in the archives under {root}")
+        assert_preflight(bars, minutes)
+        bars.write.mode("overwrite").parquet(target)
+        content = preparation_report(bars, parsed, symbol, minutes, dropped) | {"start_date": start, "end_date": end} | (source or {})
+        write_text(spark, report or f"{target.rstrip('/')}.report.json", json.dumps(content, indent=2, default=str, sort_keys=True), overwrite=True)
+        return dropped
+    finally:
+        delete(spark, staged)
+
+
+#: Gaps that a report lists one by one; it counts all of them.
+LISTED_GAPS = 1000
+
+
+def preparation_report(bars: DataFrame, parsed: DataFrame, symbol: str, minutes: int, dropped: int) -> dict:
+    """What was prepared: counts, first and last time, gaps, the preflight's row and the archives read."""
+    checked = preflight(bars, minutes).first().asDict()
+    found = gaps(bars, minutes)
+    listed = [r.asDict() for r in found.orderBy("gap_from").limit(LISTED_GAPS).collect()]
+    files = [r.file.rsplit("/", 1)[-1] for r in parsed.select("file").distinct().orderBy("file").collect()]  # a name for each month or day
+    last = bars.agg(F.max("close_time").alias("t")).first().t
+    return {
+        "symbol": symbol, "interval_minutes": minutes, "timezone": "UTC", "rows": checked["n_rows"], "first_open_time": checked["first_open"], "last_close_time": last,
+        "duplicate_count": dropped, "gap_count": checked["n_gaps"], "missing_bars": checked["n_missing"], "gap_ranges": listed, "data_preflight": checked, "archives": files,
+    }
