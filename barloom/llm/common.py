@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +105,24 @@ def sampled(df: DataFrame, ids: DataFrame, id_col: str, rows: int) -> DataFrame:
     chosen = ids.select(F.col(id_col).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     return df.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).drop("__id")
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Begin an operator's work in a Python worker, which other operators may have used before.
+
+    ``release`` empties what the owner keeps there from task to task. Whatever others keep is
+    released, and freed memory goes back to the system, so stages of one session don't add up.
+    """
+    others = [name for name in _held if name != owner]
+    for name in others:
+        _held.pop(name)()
+    if release is not None:
+        _held[owner] = release
+    if others:
+        gc.collect()
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if give_back is not None:
+            give_back(0)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_semi_filter, discard, materialize
+from .common import bitmap_semi_filter, claim, discard, materialize
 
 #: Cells of the frequency sketch (one byte each when broadcast) and cells of one row of it.
 CELLS, CHUNK = 1 << 22, 1 << 12
@@ -128,6 +128,7 @@ def digest(h: np.ndarray) -> tuple[int, int]:
 def digests(df: DataFrame, size: int) -> DataFrame:
     """Rows of kind 0, one per text: id, key, shingles, digest. Rows of kind 1: parts of each task's sketch."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("ngram_join", _words.clear)
         counts = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
             rows = []
@@ -173,6 +174,7 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes, clash: frozens
     under the other orders, folded to 32 bits: equal tokens stay equal.
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("ngram_join", _words.clear)
         table, seen = classes.value, set()
         for batch in batches:
             token, node, n, pos, parity, sets = [], [], [], [], [[] for _ in PARITY], []
@@ -374,6 +376,7 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
     texts = bitmap_semi_filter(docs, "id", wanted).join(wanted, ["id", "key"]).select("g", "i", "j", "node", "text")
 
     def verify(given: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        claim("ngram_join", _words.clear)
         sets: dict[int, np.ndarray] = {}
         for node, text in zip(members["node"], members["text"], strict=True):
             if node not in sets:

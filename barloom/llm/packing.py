@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize
+from .common import claim, materialize
 from .token_counts import SPACE
 
 #: A rest is kept whole when it fills at least this share of its class's slot.
@@ -191,6 +191,7 @@ _encoders: dict[int, Encoder] = {}
 
 def encoder_of(definition: str) -> Encoder:
     """The worker's encoder for a tokenizer, kept from task to task."""
+    claim("packing", _encoders.clear)
     key = zlib.crc32(definition.encode())
     if key not in _encoders:
         _encoders.clear()

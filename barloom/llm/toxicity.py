@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, discard, materialize, sampled
+from .common import claim, crc_fold, discard, materialize, sampled
 from .quality_crf import train_labels
 
 #: Training documents at most.
@@ -166,6 +166,7 @@ def document_counts(rows: DataFrame, listed) -> DataFrame:
     Each task counts for itself; only its sums are shuffled.
     """
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("toxicity")
         find, seen = listed(), Counter()
         for batch in batches:
             for y, half, text in zip(batch["y"], batch["half"], batch["text"], strict=True):
@@ -243,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         lexicon.exceptions = (*exceptions, *sorted(r["item"] for r in harmless.select("item").collect()))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("toxicity")
         automata = [Lexicon(halves[h], lexicon.exceptions).automaton() for h in (0, 1)]
         for batch in batches:
             x = [features(automata[not h], t) for h, t in zip(batch["half"], batch["text"], strict=True)]
@@ -260,6 +262,7 @@ def scorer(lexicon: Lexicon, spark):
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         automaton, slopes = shared.value.automaton(), shared.value.slopes
         for texts in batches:
             x = np.array([features(automaton, t) for t in texts], dtype=np.float64).reshape(-1, 2)
