@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, sampled
+from .common import claim, crc_fold, sampled
 
 #: Training documents at most, and rounds of relabelling.
 SAMPLE_DOCS, ROUNDS = 4_000, 3
-#: Lines of one training sequence, and sequences of a document at most: longer documents give as
-#: many from places spread evenly over them.
-TRAIN_LINES, TRAIN_PARTS = 64, 2
+#: Defaults of ``fit``: lines of one training sequence, and sequences of a document at most. Longer
+#: documents give as many, from the beginning to the end in equal steps.
+TRAIN_LINES, TRAIN_PARTS = 32, 4
 #: Lines and bytes whose features are computed at a time; lines of a chain that advance in step.
 BLOCK_LINES, BLOCK_BYTES, LANE = 1 << 15, 1 << 22, 256
 #: Scores of a line beyond this say nothing more.
@@ -279,13 +279,13 @@ def evidence(emission: np.ndarray, length: np.ndarray, counts: np.ndarray, stay:
     return np.add.reduceat(p * weight, start) / np.add.reduceat(weight, start)
 
 
-def training_lines(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Own features and lengths of a text's lines: all of them, or TRAIN_PARTS stretches spread evenly over a longer one."""
+def training_lines(texts: Iterable[str | None], train_lines: int = TRAIN_LINES, train_parts: int = TRAIN_PARTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Own features and lengths of a text's lines: all of them, or ``train_parts`` stretches spread evenly over a longer one."""
     for text in texts:
         total = (text or "").count("\n") + 1
-        most = TRAIN_LINES * TRAIN_PARTS
-        starts = [0] if total <= most else [k * (total - TRAIN_LINES) // (TRAIN_PARTS - 1) for k in range(TRAIN_PARTS)]
-        wanted, own, length, at = total if total <= most else TRAIN_LINES, [], [], 0
+        most = train_lines * train_parts
+        starts = [0] if total <= most else [k * (total - train_lines) // max(1, train_parts - 1) for k in range(train_parts)]
+        wanted, own, length, at = total if total <= most else train_lines, [], [], 0
         for x, n, _ in blocks([text]):
             keep = np.zeros(len(n), dtype=bool)
             for s in starts:
@@ -295,14 +295,15 @@ def training_lines(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np
         yield np.concatenate(own), np.concatenate(length)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int = SAMPLE_DOCS, train_lines: int = TRAIN_LINES, train_parts: int = TRAIN_PARTS) -> Model:
     """A model from at most ``sample_docs`` labelled documents.
 
-    The driver gets the features of at most TRAIN_LINES * TRAIN_PARTS lines of each, 72 bytes a line.
+    The driver gets the features of at most ``train_lines`` times ``train_parts`` lines of each, 72 bytes a line.
     """
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("quality_crf")
         for batch in batches:
-            got = list(training_lines(batch["text"]))
+            got = list(training_lines(batch["text"], train_lines, train_parts))
             yield pd.DataFrame({
                 "y": batch["y"], "lines": [len(n) for _, n in got], "x": [x.tobytes() for x, _ in got], "length": [n.tobytes() for _, n in got],
             })
@@ -319,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     own = np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(-1, OWN)
     length = np.frombuffer(b"".join(got["length"]), dtype=np.int64)
     x = wide(own, counts)
-    part = np.concatenate([np.full(-(-n // TRAIN_LINES), TRAIN_LINES) if n % TRAIN_LINES == 0 else np.append(np.full(n // TRAIN_LINES, TRAIN_LINES), n % TRAIN_LINES) for n in counts])
+    part = np.concatenate([np.full(-(-n // train_lines), train_lines) if n % train_lines == 0 else np.append(np.full(n // train_lines, train_lines), n % train_lines) for n in counts])
     doc = np.repeat(np.arange(len(counts)), counts)
     y = np.repeat(quality, counts).astype(np.float64)
     mean, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
@@ -345,6 +346,7 @@ def scorer(model: Model, spark):
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("quality_crf")
         for texts in batches:
             if not len(texts):
                 yield pd.Series([], dtype="float64")
@@ -359,17 +361,20 @@ def train_labels(labels: DataFrame, id_col: str, folds: int, held_out: int) -> D
     return labels.filter(crc_fold(id_col, folds) != held_out)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, threshold: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, threshold: float = 0.5, sample_docs: int = SAMPLE_DOCS,
+    train_lines: int = TRAIN_LINES, train_parts: int = TRAIN_PARTS,
+) -> DataFrame:
     """Quality of every text: ``id_col, held_out, score, predicted``.
 
     Labels are learned from rows whose id's crc32 (as text) modulo ``folds`` isn't ``held_out``, at
-    most ``sample_docs`` of them; a document labelled twice counts as its larger label. Nulls among
-    labels are ignored. A null or empty text is one empty line and is scored as such; a text of any
+    most ``sample_docs`` of them, and of each at most ``train_parts`` stretches of ``train_lines`` lines; every line of every
+    text is scored. A document labelled twice counts as its larger label. Nulls among labels are ignored. A null or empty text is one empty line and is scored as such; a text of any
     length is scored as a whole, its lines' features a block at a time. With labels
     of one kind or none, every text gets one score near 0 or 1. A null id is never held out;
     repeated rows each get their result; other columns are ignored; an empty table stays empty.
     """
-    model = fit(docs, train_labels(labels, id_col, folds, held_out), id_col, text_col, label_col, sample_docs)
+    model = fit(docs, train_labels(labels, id_col, folds, held_out), id_col, text_col, label_col, sample_docs, train_lines, train_parts)
     fold = F.coalesce(crc_fold(id_col, folds) == held_out, F.lit(False))
     out = docs.select(F.col(id_col), fold.alias("held_out"), scorer(model, docs.sparkSession)(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
