@@ -21,6 +21,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -47,24 +48,18 @@ PARITY = ("p0", "p1", "p2", "p3")
 FINE = tuple(f"f{k}" for k in range(16))
 #: Shingles of the texts that one comparison task holds on either side.
 GROUP_SHINGLES = 400_000
-#: Words in a worker's cache before it starts anew, and sets a task remembers to skip copies.
-CACHE, SEEN = 300_000, 200_000
+#: Sets a task remembers to skip copies.
+SEEN = 200_000
+#: Bytes of a text whose words are hashed at a time; longer words are hashed one by one.
+BLOCK, LONG_WORD = 1 << 18, 64
 #: Seeds of the global orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _U = np.uint64
 _PAD = _U(0x27D4EB2F165667C5)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
+#: Odd factors of a shingle's places.
+_PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=_U)
+_BREAK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,19 +68,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _word_values() -> np.ndarray:
+    """A random value for each byte, the same for both cases of an ASCII letter."""
+    values = mix(np.arange(1, 257, dtype=_U) * _PAD)
+    values[65:91] = values[97:123]
+    return values
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_VALUE = _word_values()
+#: An odd factor modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(BLOCK + 1, base, dtype=_U)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=_U)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def block_words(data: bytes) -> np.ndarray:
+    """Hashes of the words of at most BLOCK bytes: differences of running sums of values times powers."""
+    a = np.frombuffer(data, dtype=np.uint8)
+    space = np.concatenate([[True], _SPACE[a], [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    sums = np.zeros(len(a) + 1, dtype=_U)
+    np.cumsum(_VALUE[a] * _POWERS[: len(a)], out=sums[1:])
+    size = ends - starts
+    out = mix((sums[ends] - sums[starts]) * _INVERSES[starts] + size.astype(_U))
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = long_word(data[starts[k] : ends[k]])
+    return out
+
+
+def long_word(word: bytes) -> int:
+    """Sums of powers modulo 2**64 are no good hash of long words made to collide."""
+    return xxhash.xxh3_64_intdigest(word.lower())
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word, in blocks that end where a word does."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK)
+        if end < len(data) and not _SPACE[data[end]]:
+            cut = _BREAK.search(data[at:end][::-1])
+            if cut:
+                end -= cut.start()
+            else:  # a word that is longer than a block, perhaps with the end of another before it
+                more = _BREAK.search(data, end)
+                end = more.start() if more else len(data)
+                out.append(np.array([long_word(data[at:end])], dtype=_U))
+                at = end
+                continue
+        out.append(block_words(data[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, dtype=_U)
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; of the whole sequence if it has fewer words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=_U)
-    w = np.fromiter(map(_words.__getitem__, words), dtype=_U, count=len(words))
+    w = word_hashes(text.encode("utf-8", "surrogatepass")) if text else np.empty(0, dtype=_U)
+    if not len(w):
+        return w
     if len(w) < size:
         w = np.concatenate([w, np.full(size - len(w), _PAD, dtype=_U)])
     n = len(w) - size + 1
     h = np.zeros(n, dtype=_U)
     for k in range(size):
-        h = mix(h + w[k : k + n] + _U(k + 1) * _PAD)
-    return np.unique(h)
+        if k < len(_PLACES):
+            h += w[k : k + n] * _PLACES[k]
+        else:  # long shingles: earlier places are mixed before more are added
+            h = mix(h) + w[k : k + n]
+    return np.unique(mix(h))
 
 
 def cell(h: np.ndarray) -> np.ndarray:
@@ -128,7 +186,7 @@ def digest(h: np.ndarray) -> tuple[int, int]:
 def digests(df: DataFrame, size: int) -> DataFrame:
     """Rows of kind 0, one per text: id, key, shingles, digest. Rows of kind 1: parts of each task's sketch."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("ngram_join", _words.clear)
+        claim("ngram_join")
         counts = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
             rows = []
@@ -174,7 +232,7 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes, clash: frozens
     under the other orders, folded to 32 bits: equal tokens stay equal.
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claim("ngram_join", _words.clear)
+        claim("ngram_join")
         table, seen = classes.value, set()
         for batch in batches:
             token, node, n, pos, parity, sets = [], [], [], [], [[] for _ in PARITY], []
@@ -376,7 +434,7 @@ def compare(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, limit
     texts = bitmap_semi_filter(docs, "id", wanted).join(wanted, ["id", "key"]).select("g", "i", "j", "node", "text")
 
     def verify(given: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        claim("ngram_join", _words.clear)
+        claim("ngram_join")
         sets: dict[int, np.ndarray] = {}
         for node, text in zip(members["node"], members["text"], strict=True):
             if node not in sets:
