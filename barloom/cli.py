@@ -1,4 +1,4 @@
-"""Command line: ``python -m barloom.cli COMMAND``. Exit code 0 is success, 1 a failed check, 2 a usage error."""
+"""Command line: ``python -m barloom.cli COMMAND``. Exit code 0 is success, 1 a failed check, 2 a usage or configuration error."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import config
+from . import config, workflow
 from .operators import checks, fusion, labels, metrics, quality, splits
 from .operators.model import BoostedTrees, train_two_stages
 from .params import Ratios, interval_minutes
@@ -100,28 +100,54 @@ def evaluate(spark: SparkSession, args, folder: str) -> dict:
     return metrics.best_variant(compared).first().asDict()
 
 
+#: Commands that a configuration drives, and what they take besides it and the run's folder.
+STEPS = {
+    "check": (workflow.workspace_check, {}), "data-download": (workflow.data_download, {}), "data-prepare": (workflow.data_prepare, {}), "data-check": (workflow.data_check, {}),
+    "dataset-build": (workflow.dataset_build, {}), "feature-build": (workflow.feature_build, {}), "feature-check": (workflow.feature_check, {}),
+    "train": (workflow.train, {"model": "leafwise_trees", "run-id": "train", "view": "coarse"}), "compare-features": (workflow.compare_features, {"model": "leafwise_trees", "run-id": "compare"}),
+}
+
+
+def step(spark: SparkSession, args) -> int:
+    """One step of a run; a configuration that can't be run is a usage error."""
+    run, more = STEPS[args.command]
+    given = {name.replace("-", "_"): getattr(args, name.replace("-", "_")) for name in more}
+    if getattr(args, "trees", None):
+        given["trees"] = args.trees
+    return run(spark, config.load(args.config), workflow.Artifacts(args.root), **given)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="barloom")
     commands = parser.add_subparsers(dest="command", required=True)
 
-    def command(run, *names: str, **defaults: str):
-        sub = commands.add_parser(run.__name__.replace("_", "-"), help=run.__doc__)
+    def command(title: str, run, *names: str, **defaults: str):
+        sub = commands.add_parser(title, help=run.__doc__)
         for name in names:
             sub.add_argument(f"--{name}", required=name not in defaults, default=defaults.get(name))
         sub.set_defaults(run=run)
         return sub
 
-    command(prepare, "raw", "symbol", "interval", "start", "end", "out")
-    command(check, "bars", "interval")
-    command(dataset, "bars", "fine", "interval", "fine-interval", "out")
-    command(show_config, "config")
-    command(feature_check, "data", "view", view="multires")
-    command(compare, "data", "out").add_argument("--trees", type=int, default=50)
+    for title, (run, more) in STEPS.items():
+        sub = command(title, run, "config", "root", *more, **more)
+        if "model" in more:
+            sub.add_argument("--trees", type=int)
+        sub.set_defaults(run=step)
+    command("show-config", show_config, "config")
+    # The same work on tables at hand, without a configuration.
+    command("bars-prepare", prepare, "raw", "symbol", "interval", "start", "end", "out")
+    command("bars-check", check, "bars", "interval")
+    command("bars-dataset", dataset, "bars", "fine", "interval", "fine-interval", "out")
+    command("view-check", feature_check, "data", "view", view="multires")
+    command("views-compare", compare, "data", "out").add_argument("--trees", type=int, default=50)
     args = parser.parse_args(argv)
     spark = ship(SparkSession.builder.appName("barloom").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     try:
         return args.run(spark, args)
-    except (ValueError, FileExistsError) as problem:
+    except config.ConfigError as problem:
+        print(f"CONFIG = FAIL: {problem}", file=sys.stderr)
+        return 2
+    except (ValueError, OSError) as problem:
         print(problem, file=sys.stderr)
         return 1
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -15,6 +15,26 @@ from pyspark.sql import functions as F
 from .splits import early_stopping
 
 
+@dataclass(frozen=True)
+class DataInfo:
+    """What a model is told of its data: number and names of features, target and horizon."""
+
+    n_features: int | None = None
+    feature_names: tuple[str, ...] = ()
+    target_name: str = "target_up"
+    horizon_minutes: int | None = 30
+
+    def __post_init__(self):
+        for name in ("n_features", "horizon_minutes"):
+            if getattr(self, name) is not None and getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be positive")
+        if self.n_features is not None and self.feature_names and len(self.feature_names) != self.n_features:
+            raise ValueError(f"{len(self.feature_names)} names for {self.n_features} features")
+
+    def as_dict(self) -> dict:
+        return asdict(self)
+
+
 class ProbabilityModel:
     """Learns P(up) from rows with ``target_up``; ``validation`` rows may stop the training."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import bars as bars_ops
 from ..operators import features as feat
-from ..operators import checks, fusion, indicators, labels, lifecycle, metrics, quality, settlement, splits
+from ..operators import checks, fingerprints, fusion, indicators, labels, lifecycle, metrics, proofs, quality, reports, settlement, splits
 from ..params import Payout, Ratios, SignalParams
 from ..sources.klines import epoch_times
 from ..sources.tables import tick_bars, ticks
@@ -354,6 +354,121 @@ def common_sample_equality(spark, sf):
     return quality.same_rows(fusion.project(data, "c"), fusion.project(data, "mr"), ["sample_id", "prediction_time", "target_up", "split"])
 
 
+_SAME = ["sample_id", "prediction_time", "target_up"]
+_TAMPERED = "SELECT * REPLACE (CASE WHEN hour(prediction_time) = 5 AND day(prediction_time) % 9 = 0 THEN 1 - target_up ELSE target_up END AS target_up) FROM s"
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT split, {', '.join(_SAME)} FROM ({DATA})), fine AS ({_TAMPERED}), multires AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE split = 'test' AND day(prediction_time) = 29),
+  d AS (SELECT split, 'fine' AS t, count(*) AS n FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM fine UNION ALL (SELECT * FROM fine EXCEPT ALL SELECT * FROM s)) GROUP BY split
+    UNION ALL SELECT split, 'multires', count(*) FROM (SELECT * FROM multires EXCEPT ALL SELECT * FROM s) GROUP BY split),
+  c AS (SELECT split, 'fine' AS t, count(*) AS n FROM fine GROUP BY split UNION ALL SELECT split, 'multires', count(*) FROM multires GROUP BY split),
+  b AS (SELECT split, count(*) AS n FROM s GROUP BY split)
+  SELECT c.split, c.t AS "table", c.n, b.n AS n_first, coalesce(d.n, 0) = 0 AS equal FROM c JOIN b USING (split) LEFT JOIN d ON d.split = c.split AND d.t = c.t""")
+def common_sample_fingerprints(spark, sf):
+    """Samples of three datasets, each built for itself; of one some outcomes are turned, another has some rows twice."""
+    coarse, fine, multires = (fusion.project(dataset60(spark, sf), name).select("split", *_SAME) for name in ("coarse", "fine", "multires"))
+    turned = (F.hour("prediction_time") == 5) & (F.dayofmonth("prediction_time") % 9 == 0)
+    fine = fine.withColumn("target_up", F.when(turned, 1 - F.col("target_up")).otherwise(F.col("target_up")))
+    twice = multires.filter((F.col("split") == "test") & (F.dayofmonth("prediction_time") == 29))
+    return fingerprints.compare({"coarse": coarse, "fine": fine, "multires": multires.unionByName(twice)}, _SAME, ["split"])
+
+
+_CUT = "2024-01-21 12:00:00"
+_MUTATE = "SELECT * REPLACE ({}) FROM ({})"
+_FACTORS = ", ".join(f"CASE WHEN open_time >= TIMESTAMP '{_CUT}' THEN {p} * {k} ELSE {p} END AS {p}" for p, k in proofs.FACTORS.items())
+
+
+def _changed(names: list[str], flags: list[str]) -> str:
+    """SQL that tells whether rows a and b differ."""
+    bad = lambda x: f"({x} IS NULL OR NOT isfinite({x}))"
+    far = [f"NOT ({bad(f'a.{c}')} AND {bad(f'b.{c}')} OR coalesce(abs(a.{c} - b.{c}) <= 1e-10 + 1e-10 * abs(b.{c}), false))" for c in names]
+    return " OR ".join([*far, *[f"a.{c} IS DISTINCT FROM b.{c}" for c in flags]])
+
+
+def _mutation_sql(before: str, after: str, names: list[str], flags: list[str]) -> str:
+    early = f"prediction_time <= TIMESTAMP '{_CUT}'"
+    return f"""WITH a AS MATERIALIZED ({before}), b AS MATERIALIZED ({after}), x AS (SELECT symbol, prediction_time, {_changed(names, flags)} AS changed FROM a JOIN b USING (symbol, prediction_time))
+      SELECT symbol, count(*) FILTER ({early}) AS n_before, count(*) FILTER ({early} AND changed) AS n_changed_before, count(*) FILTER (NOT {early}) AS n_after, count(*) FILTER (NOT {early} AND changed) AS n_changed_after,
+      min(CASE WHEN {early} AND changed THEN prediction_time END) AS first_leak, min(CASE WHEN NOT {early} AND changed THEN prediction_time END) AS first_changed,
+      count(*) FILTER ({early} AND changed) = 0 AS passed FROM x GROUP BY symbol"""
+
+
+def _cut():
+    return F.lit(_CUT).cast("timestamp_ntz")
+
+
+_VALID = ["feature_valid", "feature_invalid_reason"]
+
+
+@query(_mutation_sql(sql.features(f"({B30})", feat.coarse_set(), 30), sql.features(f"({_MUTATE.format(_FACTORS, B30)})", feat.coarse_set(), 30), feat.coarse_set().names(), _VALID))
+def mutation_proof_coarse(spark, sf):
+    """Later prices are changed; no coarse feature known before may move."""
+    build = lambda bars: feat.build(bars, feat.coarse_set(), 30, block_rows=500)
+    return proofs.mutation_proof(build, [b30(spark, sf)], _cut(), feat.coarse_set().names()).drop("leaking")
+
+
+@query(_mutation_sql(sql.features(f"({B60})", feat.fine_set(), 60), sql.features(f"({_MUTATE.format(_FACTORS, B60)})", feat.fine_set(), 60), feat.fine_set().names(), _VALID))
+def mutation_proof_fine(spark, sf):
+    build = lambda bars: feat.build(bars, feat.fine_set(), 60)
+    return proofs.mutation_proof(build, [b60(spark, sf)], _cut(), feat.fine_set().names()).drop("leaking")
+
+
+_FUSED_FLAGS = ["multires_feature_valid", "feature_invalid_reason"]
+
+
+@query(_mutation_sql(FUSED, sql.fused(f"({_MUTATE.format(_FACTORS, B360)})", f"({_MUTATE.format(_FACTORS, B60)})", 360, 60), _ALL, _FUSED_FLAGS))
+def mutation_proof_fused(spark, sf):
+    """Both resolutions are changed after the cut."""
+    build = lambda coarse, fine: fusion.multires(coarse, fine, 360, 60)[2]
+    return proofs.mutation_proof(build, [b360(spark, sf), b60(spark, sf)], _cut(), _ALL, tuple(_FUSED_FLAGS)).drop("leaking")
+
+
+def _gap_sql(source: str, spec: feat.FeatureSet, minutes: int, at: str) -> str:
+    hole = f"SELECT * FROM ({source}) WHERE open_time <> TIMESTAMP '{at}'"
+    return f"""WITH a AS MATERIALIZED ({sql.features(f"({source})", spec, minutes)}), b AS MATERIALIZED ({sql.features(f"({hole})", spec, minutes)}),
+      g AS (SELECT symbol, close_time FROM ({source}) WHERE open_time = TIMESTAMP '{at}'),
+      x AS (SELECT a.symbol, a.prediction_time, b.symbol IS NULL AS missing, a.feature_valid AND NOT b.feature_valid AS gone, b.feature_invalid_reason AS why,
+        b.symbol IS NOT NULL AND ({_changed(spec.names(), _VALID)}) AS changed FROM a LEFT JOIN b ON a.symbol = b.symbol AND a.prediction_time = b.prediction_time)
+      SELECT x.symbol, max(close_time) AS gap_time, 1::BIGINT AS n_dropped, count(*) FILTER (missing) AS n_missing, count(*) FILTER (gone) AS n_invalidated, count(*) FILTER (gone AND why = 'non_contiguous_history') AS n_non_contiguous,
+        min(CASE WHEN gone THEN prediction_time END) AS first_invalid, max(CASE WHEN gone THEN prediction_time END) AS last_invalid, count(*) FILTER (prediction_time < close_time AND changed) AS n_changed_before,
+        count(*) FILTER (gone) <= {spec.max_lag} AS passed FROM x JOIN g USING (symbol) GROUP BY x.symbol"""
+
+
+@query(_gap_sql(B30, feat.coarse_set(), 30, _CUT))
+def gap_proof_coarse(spark, sf):
+    """One bar is left out: the next 48 have no whole history."""
+    build = lambda bars: feat.build(bars, feat.coarse_set(), 30, block_rows=500)
+    return proofs.gap_proof(build, b30(spark, sf), F.col("open_time") == _cut(), feat.coarse_set().names(), 48)
+
+
+_FINE_GAP = "2024-01-15 06:00:00"
+
+
+@query(_gap_sql(B60, feat.fine_set(), 60, _FINE_GAP))
+def gap_proof_fine(spark, sf):
+    """One bar is left out: the next 288 have no whole history."""
+    build = lambda bars: feat.build(bars, feat.fine_set(), 60)
+    return proofs.gap_proof(build, b60(spark, sf), F.col("open_time") == F.lit(_FINE_GAP).cast("timestamp_ntz"), feat.fine_set().names(), 288)
+
+
+@query(f"""SELECT symbol, invalid_reason, false AS all_reasons, count(*) AS n, count(event_entry_time) AS n_entered, count(*) FILTER (target_direction = 0) AS n_flat FROM ({LT}) GROUP BY symbol, invalid_reason
+  UNION ALL SELECT symbol, NULL, true, count(*), count(event_entry_time), count(*) FILTER (target_direction = 0) FROM ({LT}) GROUP BY symbol""")
+def label_reason_report(spark, sf):
+    """What the labels' report is folded from."""
+    return reports.label_counts(labels.candidates(tick_bars(spark, sf, 60, by_type=True), 60))
+
+
+_REPORTED = f"SELECT symbol, coalesce(split, 'none') AS split, coalesce(feature_invalid_reason, 'valid') AS reason, coalesce(label_valid, false) AS labelled, {', '.join(f'coalesce({f}, false) AS {f}' for f in reports.FLAGS)} FROM ({DATA})"
+_COUNTED = ", ".join(["count(*) AS n", *[f"count(*) FILTER ({f}) AS n_{f}" for f in reports.FLAGS], *[f"count(*) FILTER ({f} AND labelled) AS n_labelled_{f}" for f in reports.FLAGS]])
+
+
+@query(f"""WITH r AS MATERIALIZED ({_REPORTED}) SELECT symbol, split, NULL AS reason, 'split' AS level, {_COUNTED} FROM r GROUP BY symbol, split
+  UNION ALL SELECT symbol, NULL, reason, 'reason', {_COUNTED} FROM r GROUP BY symbol, reason UNION ALL SELECT symbol, NULL, NULL, 'all', {_COUNTED} FROM r GROUP BY symbol""")
+def feature_report(spark, sf):
+    """What the reports of a dataset are folded from: parts, reasons and all rows in one pass."""
+    return reports.feature_counts(dataset60(spark, sf), reports.FLAGS)
+
+
 def scored30(spark, sf):
     """Two made-up models of the 30 minute labels: ``variant, prediction_time, y, p``."""
     bars = b30(spark, sf)
