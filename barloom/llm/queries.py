@@ -85,7 +85,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY i
 
 def op8_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), query_modulus=100, k=10, factor=0.5)
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), query_modulus=100, k=10)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
