@@ -166,14 +166,16 @@ def build(bars: DataFrame, spec: FeatureSet, minutes: int, keys: tuple[str, ...]
     return out.select(*keys, "prediction_time", *spec.names(), "feature_valid", "feature_invalid_reason")
 
 
-def align(features: DataFrame, times: DataFrame, names: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def align(features: DataFrame, times: DataFrame, names: list[str], keys: tuple[str, ...] = ("symbol",), ordinal: str | None = None) -> DataFrame:
     """The features at exactly the requested times; a miss keeps its row with nulls and its own reason.
 
-    Of repeated times one row counts: a valid one first, then the one with the smallest values in
-    the columns' order, so that the choice doesn't depend on how rows are dealt.
+    Of repeated times one row counts: the first by ``ordinal``, a column with the order of the input.
+    Without one it is a valid row first, then the one with the smallest values in the columns' order,
+    so that the choice doesn't depend on how rows are dealt.
     """
-    first = Window.partitionBy(*keys, "prediction_time").orderBy(F.desc("feature_valid"), *names)
-    one = features.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row").withColumn("__found", F.lit(True))
+    order = [F.col(ordinal)] if ordinal else [F.desc("feature_valid"), *names]
+    first = Window.partitionBy(*keys, "prediction_time").orderBy(*order)
+    one = features.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row", *([ordinal] if ordinal else [])).withColumn("__found", F.lit(True))
     joined = times.select(*keys, "prediction_time").join(one, [*keys, "prediction_time"], "left")
     found = F.coalesce("__found", F.lit(False))
     return joined.select(

@@ -47,13 +47,18 @@ def view(name: str) -> View:
 
 
 def fuse(coarse: DataFrame, fine: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Both resolutions at the coarse prediction times; ``fine`` is aligned to them already."""
+    """Both resolutions at the coarse prediction times; ``fine`` is aligned to them already.
+
+    A row of either side without its counterpart fails the job: it would be lost without a word.
+    """
     c = coarse.select(
         *keys, "prediction_time", *[F.col(n).alias(f"c30_{n}") for n in coarse_set().names()],
         F.col("feature_valid").alias("coarse_feature_valid"), F.col("feature_invalid_reason").alias("coarse_reason"),
     )
     f = fine.select(*keys, "prediction_time", *fine_names(), F.col("feature_valid").alias("fine_feature_valid"), F.col("feature_invalid_reason").alias("fine_reason"), "alignment_valid")
-    rows = c.join(f, [*keys, "prediction_time"])
+    rows = c.withColumn("__c", F.lit(True)).join(f.withColumn("__f", F.lit(True)), [*keys, "prediction_time"], "full")
+    lone = F.col("__c").isNull() | F.col("__f").isNull()
+    rows = rows.filter(F.when(lone, F.raise_error(F.lit("a prediction time is on one side only")).cast("boolean")).otherwise(True)).drop("__c", "__f")
     bad = F.lit(False)
     for n in coarse_names() + fine_names():
         bad = bad | is_bad(F.col(n))

@@ -115,6 +115,24 @@ def crossings(rows: DataFrame, params: SignalParams = SignalParams()) -> DataFra
     })
 
 
+def confirmations(rows: DataFrame, params: SignalParams = SignalParams()) -> DataFrame:
+    """Whether a bar confirms an entry, by mode and direction: ``long_range, short_range, long_shock, short_shock``.
+
+    The score has come back over the entry level, the close lies inside the band again, and the bar
+    moved in the entry's direction; the last two only where the parameters ask for them. The first bar of a series confirms nothing.
+    """
+    out = {}
+    crossed = crossings(rows, params)
+    close, mean, std, before = (F.col(c) for c in ("close", "mean", "std", "prev_close"))
+    for mode, level in (("range", params.range_entry_z), ("shock", params.shock_entry_z)):
+        for side, hit, inside, turned in (
+            ("long", f"over_{mode}", close > mean - level * std, close > before), ("short", f"under_{mode}", close < mean + level * std, close < before),
+        ):
+            wanted = F.col(hit) & (inside if params.require_band else F.lit(True)) & (turned if params.require_candle else F.lit(True))
+            out[f"{side}_{mode}"] = F.coalesce(wanted, F.lit(False))
+    return crossed.withColumns(out)
+
+
 def shock_funnel(rows: DataFrame, params: SignalParams = SignalParams(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """How many long and short shock candidates pass each filter in turn."""
     p = params

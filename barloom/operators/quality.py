@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_bad
+from ..schemas import BAR_COLUMNS
 
 
 def ohlc_rules() -> dict[str, Column]:
@@ -53,21 +54,61 @@ def unordered(bars: DataFrame, ordinal: str, keys: tuple[str, ...] = ("symbol",)
     return bars.withColumn("previous", before).filter(F.col("open_time") <= F.col("previous"))
 
 
-def preflight(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """One row per series: counts, times, rule violations, gaps, and whether it passes. Gaps only warn."""
-    rules = ohlc_rules()
-    base = bars.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"), (F.count("*") - F.count_distinct("open_time")).alias("n_duplicates"),
-        F.min("open_time").alias("first_open"), F.max("open_time").alias("last_open"),
-        *[F.count_if(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()],
+def order_breaks(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), block: int = 1 << 20) -> DataFrame:
+    """``keys, n_rows, n_breaks, first_break``: rows that don't open after the row before them of their series, as given.
+
+    ``rows`` have ``file`` and ``row``, their place in the input; ``first_break`` is such a place. A task sorts the rows of
+    one block of a file; from block to block one row each goes on.
+    """
+    place = F.struct("file", "row")
+    cut = rows.withColumn("__block", F.floor(F.col("row") / block))
+    before = F.lag("open_time").over(Window.partitionBy(*keys, "file", "__block").orderBy("row"))
+    marked = cut.withColumn("__wrong", F.coalesce(F.col("open_time") <= before, F.lit(False)))
+    blocks = marked.groupBy(*keys, "file", "__block").agg(
+        F.count("*").alias("n"), F.count_if("__wrong").alias("wrong"), F.min(F.when(F.col("__wrong"), place)).alias("where"),
+        F.min_by("open_time", "row").alias("first"), F.max_by("open_time", "row").alias("last"), F.min("row").alias("row"),
     )
-    moved = steps(bars, minutes, keys).groupBy(*keys).agg(
-        F.count_if(F.col("step_seconds") > minutes * 60).alias("n_gaps"),
-        F.count_if(F.col("step_seconds") != minutes * 60).alias("n_irregular"),
-        F.coalesce(F.sum(F.greatest(F.floor(F.col("step_seconds") / (minutes * 60)) - 1, F.lit(0))), F.lit(0)).alias("n_missing"),
+    earlier = F.lag("last").over(Window.partitionBy(*keys).orderBy("file", "__block"))
+    blocks = blocks.withColumn("__border", F.coalesce(F.col("first") <= earlier, F.lit(False)))
+    border = F.when(F.col("__border"), place)
+    return blocks.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"), (F.sum("wrong") + F.count_if("__border")).alias("n_breaks"), F.min(F.least(F.col("where"), border)).alias("first_break"))
+
+
+def month_counts(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """All that ``preflight`` needs to know of a month of a series, one row each, from one pass over the bars."""
+    size, epoch = minutes * 60, lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    dated = bars.withColumn("__month", F.date_trunc("month", "open_time"))
+    rows = dated.withColumn("__before", F.lag("open_time").over(Window.partitionBy(*keys, "__month").orderBy("open_time")))
+    new = F.col("open_time").isNotNull() & ~F.coalesce(F.col("open_time") == F.col("__before"), F.lit(False))
+    step = F.when(new, epoch("open_time") - epoch("__before"))
+    return rows.groupBy(*keys, "__month").agg(
+        F.count("*").alias("n_rows"), F.count_if(new).alias("n_times"), F.min("open_time").alias("first_open"), F.max("open_time").alias("last_open"),
+        *[F.count_if(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in ohlc_rules().items()],
+        F.count_if(step > size).alias("n_gaps"), F.count_if(step != size).alias("n_irregular"),
+        F.coalesce(F.sum(F.greatest(F.floor(step / size) - 1, F.lit(0))), F.lit(0)).alias("n_missing"),
+    )
+
+
+def preflight(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One row per series: counts, times, rule violations, gaps, and whether it passes. Gaps only warn.
+
+    A task sorts one month of a series; steps from month to month come from the months' own rows.
+    """
+    size, epoch = minutes * 60, lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    rules = list(ohlc_rules())
+    months = month_counts(bars, minutes, keys)
+    earlier = F.max("last_open").over(Window.partitionBy(*keys).orderBy("__month").rowsBetween(Window.unboundedPreceding, -1))
+    step = epoch("first_open") - F.unix_timestamp(earlier.cast("timestamp"))
+    months = months.withColumn("__step", step)
+    out = months.groupBy(*keys).agg(
+        F.sum("n_rows").alias("n_rows"), (F.sum("n_rows") - F.sum("n_times")).alias("n_duplicates"), F.min("first_open").alias("first_open"), F.max("last_open").alias("last_open"),
+        *[F.sum(name).alias(name) for name in rules],
+        (F.sum("n_gaps") + F.count_if(F.col("__step") > size)).alias("n_gaps"), (F.sum("n_irregular") + F.count_if(F.col("__step") != size)).alias("n_irregular"),
+        (F.sum("n_missing") + F.coalesce(F.sum(F.greatest(F.floor(F.col("__step") / size) - 1, F.lit(0))), F.lit(0))).alias("n_missing"),
     )
     issues = sum((F.col(name) for name in rules), F.col("n_duplicates"))
-    return base.join(moved, list(keys)).withColumn("passed", issues == 0)
+    return out.withColumn("passed", issues == 0)
 
 
 def assert_preflight(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("symbol",)) -> None:
@@ -76,14 +117,6 @@ def assert_preflight(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("sy
         raise ValueError("; ".join(str(r.asDict()) for r in failed))
 
 
-def finite_check(features: DataFrame, names: list[str], valid: str = "feature_valid") -> DataFrame:
-    """How many rows are valid, and how many of those hold a value that isn't finite."""
-    bad = F.lit(False)
-    for name in names:
-        bad = bad | is_bad(F.col(name))
-    return features.agg(F.count_if(F.col(valid)).alias("n_valid"), F.count_if(F.col(valid) & bad).alias("n_non_finite"))
-
-
 def same_rows(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of either frame that the other lacks, counted with repeats."""
     a, b = a.select(*columns), b.select(*columns)
@@ -115,3 +148,19 @@ def alignment_contract(coarse: DataFrame, fine: DataFrame, ratio: int, fine_minu
     )
 
 
+
+
+def observed(bars: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The same bars, and an observation of whatever reads them next: rows, nulls of each column and violations of each rule.
+
+    A write that happens anyway counts them on its way, so no rule costs a pass of its own.
+    """
+    seen = Observation(name)
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in BAR_COLUMNS]
+    rules = [F.count_if(F.coalesce(rule, F.lit(False))).alias(rule_name) for rule_name, rule in ohlc_rules().items()]
+    return bars.observe(seen, F.count("*").alias("n_rows"), *nulls, *rules), seen
+
+
+def observed_errors(seen: Observation) -> list[str]:
+    """What an observation of ``observed`` has counted that may not be."""
+    return [f"{name}: {n}" for name, n in seen.get.items() if n and name != "n_rows"]

@@ -188,5 +188,13 @@ def timing(settled: DataFrame, keys: tuple[str, ...] = ("symbol", "horizon")) ->
     )
 
 
-def payout_table(spark, payouts: list[Payout]) -> DataFrame:
-    return spark.createDataFrame([(p.stake, p.winning_return, p.win, p.loss, p.break_even) for p in payouts], "stake double, winning_return double, win double, loss double, break_even double")
+def payouts(bets: DataFrame, *keys: str) -> DataFrame:
+    """``keys, stake, winning_return, win, loss, break_even, n`` of each kind of bet; ``break_even`` is the share of wins that ends at nothing.
+
+    A stake or return that isn't positive, or a return that isn't more than its stake, fails the job.
+    """
+    wrong = ~((F.col("stake") > 0) & (F.col("winning_return") > F.col("stake")))
+    sound = F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.lit("a return must be more than its positive stake")).cast("boolean")).otherwise(True)
+    kinds = bets.filter(sound).groupBy(*keys, "stake", "winning_return").agg(F.count("*").alias("n"))
+    stake, back = F.col("stake"), F.col("winning_return")
+    return kinds.select(*keys, "stake", "winning_return", (back - stake).alias("win"), (-stake).alias("loss"), (stake / back).alias("break_even"), "n")

@@ -8,13 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
 from ..operators import bars as bars_ops
 from ..operators import features as feat
-from ..operators import checks, fingerprints, fusion, indicators, labels, lifecycle, metrics, proofs, quality, reports, settlement, splits
+from ..operators import checks, fingerprints, fusion, indicators, labels, metrics, proofs, quality, reports, settlement, splits
 from ..params import Payout, Ratios, SignalParams
 from ..sources.klines import epoch_times
-from ..sources.tables import tick_bars, ticks
+from ..sources.tables import in_file_order, tick_bars, ticks
 from ..streaming import jobs
 from . import oracle as sql
 
@@ -160,6 +159,15 @@ def label_input_check(spark, sf):
     return checks.label_inputs(faulty_bars(spark, sf))
 
 
+@query("""WITH o AS (SELECT event_type AS symbol, ts AS open_time, row_number() OVER () AS rn FROM (SELECT event_type, ts FROM events)), l AS (SELECT *, lag(open_time) OVER (PARTITION BY symbol ORDER BY rn) AS p FROM o)
+  SELECT symbol, count(*) AS n_rows, count(*) FILTER (open_time <= p) AS n_breaks, min(CASE WHEN open_time <= p THEN rn - 1 END) AS first_break FROM l GROUP BY symbol""")
+def input_order(spark, sf):
+    """Whether each series' times rise strictly in the order in which the file has them."""
+    events = in_file_order(spark.read.parquet(f"{sf}/events.parquet"))
+    rows = events.select(F.col("event_type").alias("symbol"), F.col("ts").alias("open_time"), "file", "row")
+    return quality.order_breaks(rows, block=4096).select("symbol", "n_rows", "n_breaks", F.col("first_break.row").alias("first_break"))
+
+
 _LABEL_DOUBLES = ["event_entry_price", "event_expiry_price"]
 _LABEL_REST = ["symbol", "sample_id", "prediction_time", "event_entry_time", "event_expiry_time", "target_direction::BIGINT AS target_direction", "target_up::BIGINT AS target_up", "label_valid", "invalid_reason"]
 
@@ -280,7 +288,7 @@ def multires_fused(spark, sf):
     return rounded(fused60(spark, sf))
 
 
-@query(f"SELECT {sql.rounded(fusion.fine_names(), ['symbol', 'prediction_time', 'fine_feature_valid AS feature_valid', 'alignment_valid', 'fr AS feature_invalid_reason'])} FROM ({FUSED})")
+@query(f"SELECT {sql.rounded(fusion.fine_names(), ['symbol', 'prediction_time', 'fine_feature_valid AS feature_valid', 'alignment_valid', "CASE WHEN alignment_valid THEN fr ELSE 'alignment_invalid' END AS feature_invalid_reason"])} FROM ({FUSED})")
 def align_exact(spark, sf):
     return rounded(fusion.multires(b360(spark, sf), b60(spark, sf), 360, 60)[1])
 
@@ -586,6 +594,11 @@ _CROSS = {
     "over_shock": f"z > -{PARAMS.shock_entry_z} AND prev_z <= -{PARAMS.shock_entry_z}", "under_shock": f"z < {PARAMS.shock_entry_z} AND prev_z >= {PARAMS.shock_entry_z}",
 }
 _from_ind("crossings", [], lambda df: indicators.crossings(df, PARAMS).select("symbol", "open_time", *_CROSS), ", ".join(["symbol", "open_time", *[f"coalesce({v}, false) AS {k}" for k, v in _CROSS.items()]]))
+_CONFIRM = {
+    f"{side}_{mode}": f"({_CROSS[f'{over}_{mode}']}) AND close {sign} mean {band} {z} * std AND close {sign} pc"
+    for mode, z in (("range", PARAMS.range_entry_z), ("shock", PARAMS.shock_entry_z)) for side, over, sign, band in (("long", "over", ">", "-"), ("short", "under", "<", "+"))
+}
+_from_ind("entry_confirmations", [], lambda df: indicators.confirmations(df, PARAMS).select("symbol", "open_time", *_CONFIRM), ", ".join(["symbol", "open_time", *[f"coalesce({v}, false) AS {k}" for k, v in _CONFIRM.items()]]))
 _ENV = f"NOT veto AND coalesce(regime_score >= {PARAMS.shock_min_score}, false)"
 _from_ind(
     "environments", [], lambda df: df.select("symbol", "open_time", "veto", "range_env", "shock_env"),
@@ -602,39 +615,6 @@ _from_ind("shock_funnel", [], lambda df: indicators.shock_funnel(df, PARAMS), "s
     " + ".join(f"count(*) FILTER ({' AND '.join(side[: k + 1])})" for side in _SIDES.values()) + f" AS {n}_pass" for k, n in enumerate(_STAGES)), "GROUP BY symbol")
 
 
-@query()
-def lifecycle_v3_events(spark, sf):
-    """Every setup, entry, trim and exit of the engine that fills at closes."""
-    return lifecycle.run(ind60(spark, sf), lifecycle.close_machine, PARAMS)
-
-
-@query()
-def lifecycle_v4_events(spark, sf):
-    """Every plan, fill and exit of the engine that works with orders."""
-    return lifecycle.run(ind60(spark, sf), lifecycle.order_machine, PARAMS)
-
-
-@query()
-def preplan_orders(spark, sf):
-    return lifecycle.run(ind60(spark, sf), lifecycle.order_machine, PARAMS).filter(F.col("event").startswith("PREPLAN"))
-
-
-@query()
-def event_signals(spark, sf):
-    """Fills of the event probe: entries of fixed-horizon contracts."""
-    return lifecycle.run(ind60(spark, sf), lifecycle.event_machine, PARAMS).filter("event = 'EVENT'")
-
-
-@query()
-def mode_statistics(spark, sf):
-    """Closed trades, wins and profit factor by direction and mode."""
-    exits = lifecycle.run(ind60(spark, sf), lifecycle.close_machine, PARAMS).filter("event = 'EXIT'")
-    gain, loss = F.sum(F.greatest("pnl_pct", F.lit(0.0))), F.sum(F.greatest(-F.col("pnl_pct"), F.lit(0.0)))
-    return exits.groupBy("symbol", scalar.direction_name(F.col("direction")).alias("direction"), scalar.mode_name(F.col("mode")).alias("mode")).agg(
-        F.count("*").alias("closed"), F.count_if(F.col("pnl_pct") > 0).alias("wins"), F.try_divide(gain, F.nullif(loss, F.lit(0.0))).alias("profit_factor"),
-    )
-
-
 def settlement_input30(spark, sf):
     """Made-up entries at the open of every seventh 30 minute bar, 5 minute closes, and the bars."""
     bars = tick_bars(spark, sf, 30, by_type=True)
@@ -715,9 +695,13 @@ def active_event_peak(spark, sf):
     return settlement.active_peak(settlement.settle_with_ends(*settlement_input30(spark, sf), Payout()))
 
 
-@query("SELECT stake, winning_return, winning_return - stake AS win, -stake AS loss, round(stake / winning_return, 6) AS break_even FROM (VALUES (5.0::DOUBLE, 9.25::DOUBLE), (10.0, 18.5)) v(stake, winning_return)")
+@query("""WITH p AS (SELECT event_type, 1 + event_id % 20 AS stake, (1 + event_id % 20) * 1.85::DOUBLE AS winning_return, count(*) AS n FROM events GROUP BY ALL)
+  SELECT event_type, stake::DOUBLE AS stake, round(winning_return, 6) AS winning_return, round(winning_return - stake, 6) AS win, -stake::DOUBLE AS loss, round(stake / winning_return, 6) AS break_even, n FROM p""")
 def payout_table(spark, sf):
-    return rounded(settlement.payout_table(spark, [Payout(5.0, 9.25), Payout(10.0, 18.5)]))
+    """What each stake of the events pays and costs, and how often a bet on it must win."""
+    stake = (1 + F.col("event_id") % 20).cast("double")
+    bets = spark.read.parquet(f"{sf}/events.parquet").select("event_type", stake.alias("stake"), (stake * 1.85).alias("winning_return"))
+    return rounded(settlement.payouts(bets, "event_type"))
 
 
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as bars_ops
-from ..operators.quality import assert_preflight, gaps, preflight
+from ..operators.quality import gaps, observed, observed_errors, preflight
 from ..schemas import BAR_COLUMNS, PRICES
 from ..session import shared_dir
 from .archive_source import read_archives
@@ -79,16 +79,21 @@ def prepare(
     """
     staged = f"{shared_dir(spark)}/parsed-{uuid.uuid4().hex}"
     try:
-        read_archives(spark, root, start, end, checksum).write.parquet(staged)
+        rows, seen = observed(read_archives(spark, root, start, end, checksum), "parsed")
+        rows.write.parquet(staged)
         parsed = spark.read.parquet(staged)
-        assert_parsed(parsed)
+        if any(seen.get[f"null_{c}"] for c in BAR_COLUMNS):
+            assert_parsed(parsed)
         bars, dropped = bars_ops.merge(parsed.select(F.lit(symbol).alias("symbol"), *BAR_COLUMNS))
         bars = bars_ops.date_range(bars, start, end)
-        bars.repartitionByRange("open_time").sortWithinPartitions("open_time").write.mode("overwrite").parquet(f"{staged}/bars")
+        bars, seen = observed(bars.repartitionByRange("open_time").sortWithinPartitions("open_time"), "bars")
+        bars.write.mode("overwrite").parquet(f"{staged}/bars")
         bars = spark.read.parquet(f"{staged}/bars")
-        if not bars.head(1):
+        if not seen.get["n_rows"]:
             raise ValueError(f"no bar of {start} to {end} in the archives under {root}")
-        assert_preflight(bars, minutes)
+        errors = observed_errors(seen)
+        if errors:
+            raise ValueError("; ".join(errors))
         bars.write.mode("overwrite").parquet(target)
         content = preparation_report(bars, parsed, symbol, minutes, dropped) | {"start_date": start, "end_date": end} | (source or {})
         write_text(spark, report or f"{target.rstrip('/')}.report.json", json.dumps(content, indent=2, default=str, sort_keys=True), overwrite=True)

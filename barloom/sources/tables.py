@@ -17,3 +17,11 @@ def ticks(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
 
 def tick_bars(spark: SparkSession, sf_dir: str, minutes: int, by_type: bool = False) -> DataFrame:
     return bars.from_ticks(ticks(spark, sf_dir, by_type), minutes, F.col("price"))
+
+
+def in_file_order(scanned: DataFrame) -> DataFrame:
+    """A scan of Parquet files with ``file`` and ``row``, where each row stood; no shuffle changes these.
+
+    Order of input is the order of (file, row): of repeated rows the first is the one with the smallest.
+    """
+    return scanned.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))

@@ -14,7 +14,8 @@ MAIN = [
     "bars_from_ticks", "bars_conflicts", "kline_epoch_parse", "gap_ranges", "ohlc_violations", "preflight_report", "preflight_of_faulty_bars", "label_input_check", "split_full_report", "split_check_of_mixed_parts", "one_to_one_check", "next_bar_labels", "label_causality_check", "chrono_split",
     "train_es_split", "coarse_features_in_blocks", "fine_features", "multires_dataset", "alignment_contract", "prob_metrics", "reliability_table", "confidence_report",
     "monthly_diagnostics", "comparison_pivot", "residual_zscore", "half_life", "shock_funnel", "event_settlement", "event_ledger", "event_streaks", "event_drawdown",
-    "stream_bars", "stream_settlement",
+    "stream_bars", "stream_settlement", "live_settlement", "active_event_peak", "common_sample_fingerprints", "mutation_proof_fine", "gap_proof_coarse", "label_reason_report", "feature_report",
+    "input_order", "entry_confirmations", "align_exact", "payout_table",
 ]
 
 
