@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..operators import bars as bars_ops
 from ..operators import features as feat
 from ..operators import checks, fingerprints, fusion, indicators, labels, metrics, proofs, quality, reports, settlement, splits
@@ -683,6 +684,21 @@ def timing_error(spark, sf):
     return rounded(settlement.timing(settled30(spark, sf)))
 
 
+@query(f"""{SETTLED} SELECT symbol, event_id, horizon::BIGINT AS horizon, round(round(entry_price / 0.05::DOUBLE) * 0.05::DOUBLE, 6) AS tick_price, round(entry_price * (2 * 4.5 / 10000)::DOUBLE + (2 * 1.0 * 0.05)::DOUBLE, 6) AS cost,
+  concat_ws('|', 'SETTLED', 'id=' || event_id, 'direction=' || CASE WHEN direction > 0 THEN 'Long' WHEN direction < 0 THEN 'Short' END, 'mode=' || CASE mode WHEN 1 THEN 'Range' WHEN 2 THEN 'Shock' END,
+  'result=' || result, 'target_time=' || strftime(target_time, '%Y-%m-%dT%H:%M:%S.%fZ'), 'observed_time=' || strftime(settled_time, '%Y-%m-%dT%H:%M:%S.%fZ')) AS line FROM settled""")
+def event_messages(spark, sf):
+    """A line for each settlement, the entry price on its tick and what a round trip at it costs."""
+    price = F.col("entry_price")
+    line = scalar.message(
+        "SETTLED", id=F.col("event_id"), direction=scalar.direction_name(F.col("direction")), mode=scalar.mode_name(F.col("mode")), result=F.col("result"),
+        target_time=scalar.iso_z(F.col("target_time")), observed_time=scalar.iso_z(F.col("settled_time")),
+    )
+    rows = settled30(spark, sf).select(
+        "symbol", "event_id", "horizon", scalar.to_tick(price, 0.05).alias("tick_price"), scalar.round_trip_cost(price, 4.5, 1.0, 0.05).alias("cost"), line.alias("line"))
+    return rounded(rows)
+
+
 _CHANGES = """SELECT symbol, entry_time AS time, 1 AS delta FROM settled WHERE horizon = 30
   UNION ALL SELECT symbol, max(done_bar), -1 FROM (SELECT *, CASE WHEN result = 'UNRESOLVED' THEN next_open ELSE settle_bar END AS done_bar FROM ended) GROUP BY symbol, event_id HAVING count(done_bar) = 2"""
 

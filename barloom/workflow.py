@@ -22,6 +22,7 @@ from .operators import checks, features, fingerprints, fusion, labels, metrics,
 from .operators.leafwise import LeafwiseTrees
 from .operators.model import DataInfo, ProbabilityModel, make_model, train_two_stages
 from .params import Ratios, interval_minutes
+from .schemas import schema_errors
 from .sources import archives, files, klines
 from .sources.sinks import write_table
 
@@ -116,6 +117,9 @@ def data_check(spark: SparkSession, config: dict, at: Artifacts) -> int:
     """Bars of both intervals, how they fit together, labels and parts: everything that fails is printed."""
     errors = []
     for side, minutes in sides(config).items():
+        wrong = schema_errors(spark.read.parquet(at.bars(side)))
+        if wrong:
+            return tell([f"{side} bars: {w}" for w in wrong])
         errors += [f"{side} bars: {r.asDict()}" for r in quality.preflight(spark.read.parquet(at.bars(side)), minutes).filter("NOT passed").collect()]
     coarse, fine = (spark.read.parquet(at.bars(s)) for s in ("coarse", "fine"))
     size = sides(config)
