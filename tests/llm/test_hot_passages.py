@@ -51,3 +51,17 @@ def test_stages_take_columns_named_like_their_own(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "unused")
     assert kept.columns == docs.columns
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [*rows[::2]]))
+
+
+def test_words_have_one_hash_wherever_blocks_end(monkeypatch):
+    """Equal words, whatever their case, block and place; words longer than a block too."""
+    pick, seen = random.Random(1), {}
+    for size in (1 << 18, 130, 200, 300):
+        monkeypatch.setattr(ngram_join, "BLOCK", size)
+        for _ in range(300):
+            data = "".join(pick.choices(["a", "B", "b", " ", "\n", "\t", "é", "\x0b", "\x85", "　", "zz", "long" * 30], k=pick.randint(0, 160))).encode()
+            words, hashes = data.lower().split(), ngram_join.word_hashes(data)
+            assert len(words) == len(hashes)
+            assert all(seen.setdefault(w, int(h)) == int(h) for w, h in zip(words, hashes))
+    assert len(set(seen.values())) == len(seen)
+    assert len(ngram_join.word_hashes(b"x" * 2_000_000 + b" y")) == 2
