@@ -14,6 +14,7 @@ row per token of the templates.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,35 @@ def token_order(text: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fullest_window(words: Column, tokens: list[str], long: int) -> Column:
+    """Most distinct tokens that a window of ``long`` words holds, by one sort of the tokens' places and one running count.
+
+    A place counts in the windows that start after the same token's place before it and hold it
+    themselves: one step up and one step down in the order of windows' starts.
+    """
+    hits = F.array_sort(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: h["word"].isin(tokens)))
+
+    def steps(h: Column, hit: Column, k: Column) -> Column:
+        before = F.get(h, k - 1)
+        since = F.when(before["word"] == hit["word"], before["at"] + 1).otherwise(0)
+        # Steps down are even, so that they come first among those of one start.
+        return F.array(F.greatest(since, hit["at"] - (long - 1)) * 2 + 1, (hit["at"] + 1) * 2)
+
+    ordered = F.sort_array(F.flatten(bound(hits, lambda h: F.transform(h, lambda hit, k: steps(h, hit, k)))))
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def counted(state: Column, step: Column) -> Column:
+        now = state["now"] + F.when(step % 2 == 1, 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(ordered, none, counted, lambda state: state["most"])
+
+
 def contained(words: Column, templates: dict[str, str], order: list[str], threshold: float) -> Column:
     """``array<struct<label, share>>`` of the templates that some block of the text contains."""
     rank = {w: k for k, w in enumerate(order)}
@@ -93,15 +123,16 @@ def contained(words: Column, templates: dict[str, str], order: list[str], thresh
         of, long = listed(sets[label]), len(templates[label].split())
         need = needed(len(sets[label]), threshold)
         common = lambda block: F.size(F.array_intersect(block, of))
+        start = lambda place: F.greatest(place - (long - 1), F.lit(0))
+        reach = lambda first, last: F.slice(words, start(first) + 1, last - start(first) + long)
+
+        def live(i: Column) -> Column:
+            return F.get(words, i).isin(prefix[label]) & (common(reach(i, i)) >= need)
 
-        def around(place: Column) -> Column:
-            first = F.greatest(place - (long - 1), F.lit(0))
-            reach = F.slice(words, first + 1, place - first + long)
-            windows = F.transform(F.sequence(first, place), lambda i: common(F.slice(words, i + 1, F.lit(long))))
-            return F.when(common(reach) >= need, F.array_max(windows)).otherwise(0)
+        def fullest(places: Column) -> Column:
+            return F.when(F.size(places) > 0, fullest_window(reach(F.get(places, F.lit(0)), F.element_at(places, -1)), sets[label], long))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(listed(prefix[label]), F.get(words, i)))
-        most = F.when(common(words) >= need, F.array_max(F.transform(places, around))).otherwise(0)
+        most = F.when(common(words) >= need, bound(F.filter(F.sequence(F.lit(0), F.size(words) - 1), live), fullest))
         return F.when(most >= need, most / F.lit(float(len(sets[label])))).otherwise(F.lit(0.0))
 
     shares = F.array(*[F.struct(F.lit(label).alias("label"), share(label).alias("share")) for label in sets])
@@ -124,7 +155,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are all windows of as many words as it has, so line breaks don't matter, and a text shorter than
     that is one block. ``score`` is the largest share contained, 1 with a phrase, 0 with nothing. A null text counts as empty: no
     words, no labels, score 0. Ids pass through, null or repeated; other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. Texts are read whole, however long; a file of many license texts takes time in
+    proportion to its length.
     """
     templates = TEMPLATES if templates is None else templates
     text = df.select(F.col(id_col), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
