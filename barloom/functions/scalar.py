@@ -67,6 +67,11 @@ def is_bad(c: Column) -> Column:
     return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
 
 
+def any_bad(names: list[str]) -> Column:
+    """Whether any of the columns is null, NaN or infinite, as one SQL text: plans of hundreds of columns are made in less time."""
+    return F.expr(" OR ".join(f"`{n}` IS NULL OR isnan(`{n}`) OR abs(`{n}`) = double('Infinity')" for n in names))
+
+
 def regime_part(value: Column, ideal: float) -> Column:
     """25 points at zero, falling to none at the ideal limit."""
     ratio = F.abs(value) / F.lit(ideal) if ideal > 0 else F.when(value.isNotNull(), F.lit(10.0))

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import CALENDAR, CANDLE, calendar, candle, div, is_bad, log_price, true_range
-from .ordinal import in_blocks
+from ..functions.scalar import CALENDAR, CANDLE, any_bad, calendar, candle, div, log_price, true_range
+from .ordinal import BLOCK_ROWS, in_blocks
 
 FLAT_STD, FLAT_PATH = 1e-12, 1e-15
 
@@ -134,12 +134,12 @@ def _path(spec: FeatureSet, roll: Rolling) -> dict[str, Column]:
     }
 
 
-def build(bars: DataFrame, spec: FeatureSet, minutes: int, keys: tuple[str, ...] = ("symbol",), block_rows: int | None = None) -> DataFrame:
+def build(bars: DataFrame, spec: FeatureSet, minutes: int, keys: tuple[str, ...] = ("symbol",), block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """``keys, prediction_time``, all features, ``feature_valid``, ``feature_invalid_reason``.
 
     Values are by row and exist on invalid rows too. A row is valid with ``max_lag`` rows before
-    it, all one interval apart, and only finite values. With ``block_rows`` a long series is
-    computed in blocks by many tasks, with the same result.
+    it, all one interval apart, and only finite values. A long series is computed in blocks of
+    ``block_rows`` rows by many tasks; without any, one task computes a series, with the same result.
     """
     def compute(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
         basic = _basics(rows, by, minutes)
@@ -156,9 +156,7 @@ def build(bars: DataFrame, spec: FeatureSet, minutes: int, keys: tuple[str, ...]
         rows = in_blocks(bars, keys, spec.max_lag + 2, block_rows, compute)
     else:
         rows = compute(bars, keys)
-    bad = F.lit(False)
-    for name in spec.names():
-        bad = bad | is_bad(F.col(name))
+    bad = any_bad(spec.names())
     reason = (
         F.when(F.col("row") < spec.max_lag, "insufficient_history").when(F.col("run") != spec.max_lag, "non_contiguous_history").when(bad, "non_finite_feature")
     )

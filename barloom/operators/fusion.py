@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_bad
+from ..functions.scalar import any_bad
 from .checks import unique
 from .features import align, build, coarse_set, fine_set
+from .ordinal import BLOCK_ROWS
 
 SAMPLE = ("sample_id", "prediction_time", "split", "target_up", "label_valid")
 VALIDITY = ("coarse_feature_valid", "fine_feature_valid", "alignment_valid", "multires_feature_valid", "feature_valid", "common_eligible")
@@ -59,9 +60,7 @@ def fuse(coarse: DataFrame, fine: DataFrame, keys: tuple[str, ...] = ("symbol",)
     rows = c.withColumn("__c", F.lit(True)).join(f.withColumn("__f", F.lit(True)), [*keys, "prediction_time"], "full")
     lone = F.col("__c").isNull() | F.col("__f").isNull()
     rows = rows.filter(F.when(lone, F.raise_error(F.lit("a prediction time is on one side only")).cast("boolean")).otherwise(True)).drop("__c", "__f")
-    bad = F.lit(False)
-    for n in coarse_names() + fine_names():
-        bad = bad | is_bad(F.col(n))
+    bad = any_bad(coarse_names() + fine_names())
     why = lambda side: F.when(F.col(f"{side}_reason") == "non_finite_feature", "non_finite_feature").otherwise(f"{side}_history_invalid")
     reason = (
         F.when(~F.col("alignment_valid"), "alignment_invalid").when(~F.col("coarse_feature_valid"), why("coarse"))
@@ -74,9 +73,12 @@ def fuse(coarse: DataFrame, fine: DataFrame, keys: tuple[str, ...] = ("symbol",)
     )
 
 
-def multires(coarse_bars: DataFrame, fine_bars: DataFrame, coarse_minutes: int, fine_minutes: int, keys: tuple[str, ...] = ("symbol",)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    coarse = build(coarse_bars, coarse_set(), coarse_minutes, keys)
-    fine = align(build(fine_bars, fine_set(), fine_minutes, keys), coarse, fine_names(), keys)
+def multires(
+    coarse_bars: DataFrame, fine_bars: DataFrame, coarse_minutes: int, fine_minutes: int, keys: tuple[str, ...] = ("symbol",), block_rows: int | None = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    coarse = build(coarse_bars, coarse_set(), coarse_minutes, keys, block_rows)
+    times = coarse_bars.select(*keys, F.col("close_time").alias("prediction_time"))  # those of the coarse features, without building them again
+    fine = align(build(fine_bars, fine_set(), fine_minutes, keys, block_rows), times, fine_names(), keys)
     return coarse, fine, fuse(coarse, fine, keys)
 
 

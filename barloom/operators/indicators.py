@@ -16,15 +16,16 @@ from ..functions.scalar import div, regime_part
 from ..params import SignalParams
 from .bars import bucket, resample
 from .features import Rolling
+from .ordinal import neighbours
 from .recursion import ema_alpha, recursive_averages, wilder_alpha
 
 
 def with_averages(bars: DataFrame, mean_len: int, atr_len: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Adds ``mean`` and ``atr``."""
-    before = F.lag("close").over(Window.partitionBy(*keys).orderBy("open_time"))
-    spread = F.col("high") - F.col("low")
+    before, spread = F.col("__before"), F.col("high") - F.col("low")
     tr = F.greatest(spread, F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return recursive_averages(bars.withColumn("tr", F.coalesce(tr, spread)), {"mean": ("close", ema_alpha(mean_len)), "atr": ("tr", wilder_alpha(atr_len))}, keys)
+    rows = neighbours(bars, {"__before": F.col("close")}, keys, ahead=False).withColumn("tr", F.coalesce(tr, spread)).drop("__before")
+    return recursive_averages(rows, {"mean": ("close", ema_alpha(mean_len)), "atr": ("tr", wilder_alpha(atr_len))}, keys)
 
 
 def efficiency_ratio(roll: Rolling, length: int) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sample_id
 from .bars import after
+from .ordinal import neighbours
 
 COLUMNS = (
     "sample_id", "prediction_time", "event_entry_time", "event_entry_price", "event_expiry_time", "event_expiry_price",
@@ -18,11 +19,10 @@ def candidates(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("symbol",
     """One candidate per bar: the next bar's open is entered at, its close settles.
 
     The next bar counts only if it opens exactly one interval later. A flat outcome keeps its
-    entry but has no label.
+    entry but has no label. A task looks at one month of a series.
     """
-    w = Window.partitionBy(*keys).orderBy("open_time")
-    ahead = {c: F.lead(c).over(w) for c in ("open_time", "open", "close", "close_time")}
-    rows = bars.select(*keys, "open_time", "close_time", *[v.alias(f"next_{c}") for c, v in ahead.items()])
+    seen = ("open_time", "open", "close", "close_time")
+    rows = neighbours(bars.select(*keys, *seen), {f"next_{c}": F.col(c) for c in seen}, keys, ahead=True)
     there = F.coalesce(F.col("next_open_time") == after(F.col("open_time"), minutes), F.lit(False))
     rows = rows.withColumn("there", there)
     move = F.col("next_close") - F.col("next_open")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import is_bad
 from ..schemas import BAR_COLUMNS
+from .ordinal import neighbours
 
 
 def ohlc_rules() -> dict[str, Column]:
@@ -31,8 +32,7 @@ def ohlc_violations(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Dat
 def steps(bars: DataFrame, minutes: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Each distinct open time with the one before it and the step in seconds."""
     times = bars.select(*keys, "open_time").distinct()
-    before = F.lag("open_time").over(Window.partitionBy(*keys).orderBy("open_time"))
-    rows = times.withColumn("previous", before)
+    rows = neighbours(times, {"previous": F.col("open_time")}, keys, ahead=False)
     epoch = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     return rows.withColumn("step_seconds", epoch("open_time") - epoch("previous"))
 

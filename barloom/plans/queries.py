@@ -13,6 +13,7 @@ from ..operators import bars as bars_ops
 from ..operators import features as feat
 from ..operators import checks, fingerprints, fusion, indicators, labels, metrics, proofs, quality, reports, settlement, splits
 from ..params import Payout, Ratios, SignalParams
+from ..session import stored
 from ..sources.klines import epoch_times
 from ..sources.tables import in_file_order, tick_bars, ticks
 from ..streaming import jobs
@@ -275,8 +276,15 @@ def fine_features(spark, sf):
     return rounded(feat.build(b60(spark, sf), feat.fine_set(), 60))
 
 
+def multires60(spark, sf):
+    """Bars of both resolutions, and their features: coarse, fine, fused. Ticks are read once."""
+    fine = stored(b60(spark, sf), "bars")
+    coarse = bars_ops.resample(fine, 360)
+    return coarse, fusion.multires(coarse, fine, 360, 60)
+
+
 def fused60(spark, sf):
-    return fusion.multires(b360(spark, sf), b60(spark, sf), 360, 60)[2]
+    return multires60(spark, sf)[1][2]
 
 
 _ALL = fusion.coarse_names() + fusion.fine_names()
@@ -291,7 +299,7 @@ def multires_fused(spark, sf):
 
 @query(f"SELECT {sql.rounded(fusion.fine_names(), ['symbol', 'prediction_time', 'fine_feature_valid AS feature_valid', 'alignment_valid', "CASE WHEN alignment_valid THEN fr ELSE 'alignment_invalid' END AS feature_invalid_reason"])} FROM ({FUSED})")
 def align_exact(spark, sf):
-    return rounded(fusion.multires(b360(spark, sf), b60(spark, sf), 360, 60)[1])
+    return rounded(multires60(spark, sf)[1][1])
 
 
 @query(f"SELECT symbol, coalesce(feature_invalid_reason, 'valid') AS reason, count(*) AS n_rows FROM ({FUSED}) GROUP BY ALL")
@@ -300,8 +308,9 @@ def feature_reason_counts(spark, sf):
 
 
 def dataset60(spark, sf):
-    samples = splits.chronological(labels.samples(labels.candidates(b360(spark, sf), 360)), Ratios(), 360)
-    return fusion.dataset(samples, fused60(spark, sf))
+    coarse, views = multires60(spark, sf)
+    samples = splits.chronological(labels.samples(labels.candidates(coarse, 360)), Ratios(), 360)
+    return fusion.dataset(samples, views[2])
 
 
 DATA = f"""SELECT s.symbol, sample_id, s.prediction_time, split, target_up::BIGINT AS target_up, label_valid, {', '.join(f'coalesce({c}, false) AS {c}' for c in _FLAGS)},

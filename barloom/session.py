@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -46,3 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(folder)
         given = context.getCheckpointDir()
     return given
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once into the shared folder, for a small table of a large scan that a plan reads several times.
+
+    Unlike ``checkpoint()`` the rows are read back by column. Plans on top may run at any time, so the files stay until
+    the folder is cleared, as checkpoints do.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
