@@ -18,7 +18,7 @@ def horizons(entries: DataFrame, minutes: tuple[int, ...] = HORIZONS, time: str
 
 
 def first_at_or_after(targets: DataFrame, target: str, observations: DataFrame, time: str, value: list[str], keys: tuple[str, ...] = ("symbol",), bucket: str = "day") -> DataFrame:
-    """Each target row with the first observation at or after it (nulls if there is none).
+    """Each target row with the first observation at or after it (nulls if there is none); of those of one time the one of the lowest values.
 
     Targets and observations of one bucket of time are sorted together; a target after the last
     observation of its bucket takes the first one of the next bucket that has any. So a task holds
@@ -26,15 +26,16 @@ def first_at_or_after(targets: DataFrame, target: str, observations: DataFrame,
     """
     seen = F.struct(F.col(time).alias("at"), *value)
     obs = observations.select(*keys, F.col(time).alias("__t"), F.date_trunc(bucket, time).alias("__b"), seen.alias("__o"))
-    firsts = obs.groupBy(*keys, "__b").agg(F.min_by("__o", "__t").alias("__first"))
+    firsts = obs.groupBy(*keys, "__b").agg(F.min("__o").alias("__first"))
     columns = targets.columns
     rows = targets.withColumns({"__t": F.col(target), "__b": F.date_trunc(bucket, target), "__side": F.lit(0)})
     both = rows.unionByName(obs.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "__b").orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    here = both.withColumn("__here", F.first("__o", ignorenulls=True).over(within)).filter("__side = 0")
+    # Backward in time, so that a frame only grows: one that ends at the last row is read anew for every row.
+    within = Window.partitionBy(*keys, "__b").orderBy(F.desc("__t"), F.desc("__side"), F.desc("__o")).rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("__here", F.last("__o", ignorenulls=True).over(within)).filter("__side = 0")
     buckets = rows.select(*keys, "__b").union(firsts.select(*keys, "__b")).distinct().join(firsts, [*keys, "__b"], "left")
-    later = Window.partitionBy(*keys).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
-    ahead = buckets.select(*keys, "__b", F.first("__first", ignorenulls=True).over(later).alias("__next"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = buckets.select(*keys, "__b", F.last("__first", ignorenulls=True).over(later).alias("__next"))
     out = here.drop("__o", "__t", "__side").join(ahead, [*keys, "__b"]).withColumn("__hit", F.coalesce("__here", "__next"))
     return out.select(*columns, F.col("__hit.at").alias("observed_time"), *[F.col(f"__hit.{v}").alias(f"observed_{v}") for v in value])
 
