@@ -794,11 +794,11 @@ def live_settlement(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     came = F.col("ts") + F.make_dt_interval(mins=F.pmod("event_id", F.lit(50)).cast("int"))
     rows = events.withColumn("part", F.floor(F.dayofmonth(came) / 8)).select("part", "event_id", "ts", "event_type", "value")
-    at = f"{jobs.shared_dir(spark)}/live-feed-{uuid.uuid4().hex}"
-    for part in range(4):  # one file after the other, as a feed leaves them
-        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(at)
-    found = jobs.run_available(jobs.live_settlement(_feed(stream), delay="1 hour"), "live-settlement")
+    feed, run = (f"{jobs.shared_dir(spark)}/live-{kind}-{uuid.uuid4().hex}" for kind in ("feed", "run"))
+    for part in range(4):  # one after the other, as a feed leaves them; the stream goes on where it stopped
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(rows.drop("part").schema).parquet(feed)
+        found = jobs.run_available(jobs.live_settlement(_feed(stream), delay="1 hour"), "live-settlement", run)
     return rounded(found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("target_time", "settled_time")}))
 
 
