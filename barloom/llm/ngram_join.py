@@ -50,6 +50,8 @@ FINE = tuple(f"f{k}" for k in range(16))
 GROUP_SHINGLES = 400_000
 #: Sets a task remembers to skip copies.
 SEEN = 200_000
+#: Prefix tokens of whole texts that a task gives out at a time.
+POSTINGS = 1 << 17
 #: Bytes of a text whose words are hashed at a time; longer words are hashed one by one.
 BLOCK, LONG_WORD = 1 << 18, 64
 #: Seeds of the global orders.
@@ -235,7 +237,20 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes, clash: frozens
         claim("ngram_join")
         table, seen = classes.value, set()
         for batch in batches:
-            token, node, n, pos, parity, sets = [], [], [], [], [[] for _ in PARITY], []
+            token, node, n, pos, parity, sets, held = [], [], [], [], [[] for _ in PARITY], [], 0
+
+            def frames():
+                yield pd.DataFrame({
+                    "token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(n).astype(np.int32),
+                    "pos": np.concatenate(pos).astype(np.int32), **{name: np.concatenate(c) for name, c in zip(PARITY, parity, strict=True)}, **dict.fromkeys(FINE), "others": None,
+                })
+                yield pd.DataFrame({
+                    "token": 0, "node": [s[0] for s in sets], "n": np.array([s[1] for s in sets], dtype=np.int32), "pos": np.int32(-1),
+                    **dict.fromkeys(PARITY, 0), **dict(zip(FINE, np.stack([s[2] for s in sets]).T, strict=True)), "others": [s[3] for s in sets],
+                })
+                for column in (token, node, n, pos, *parity, sets):
+                    column.clear()
+
             for text in batch["text"]:
                 h = shingles(text, size)
                 if not len(h):
@@ -255,15 +270,12 @@ def postings(df: DataFrame, size: int, limit: Threshold, classes, clash: frozens
                     column.append(np.full(p, bits))
                 odd = np.bincount((h >> _U(54)).astype(np.int64), minlength=64 * len(FINE)).astype(np.uint8) & 1
                 sets.append((d, len(h), np.packbits(odd).view(np.int64), [(ordered(h, table, k)[: limit.probe(len(h))] >> _U(32)).astype(np.uint32).view(np.int32) for k in range(1, len(ORDERS))]))
+                held += p
+                if held >= POSTINGS:
+                    yield from frames()
+                    held = 0
             if token:
-                yield pd.DataFrame({
-                    "token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(n).astype(np.int32),
-                    "pos": np.concatenate(pos).astype(np.int32), **{name: np.concatenate(c) for name, c in zip(PARITY, parity, strict=True)}, **dict.fromkeys(FINE), "others": None,
-                })
-                yield pd.DataFrame({
-                    "token": 0, "node": [s[0] for s in sets], "n": np.array([s[1] for s in sets], dtype=np.int32), "pos": np.int32(-1),
-                    **dict.fromkeys(PARITY, 0), **dict(zip(FINE, np.stack([s[2] for s in sets]).T, strict=True)), "others": [s[3] for s in sets],
-                })
+                yield from frames()
 
     return df.select("text").mapInPandas(read, "token long, node long, n int, pos int, " + ", ".join(f"{c} long" for c in PARITY + FINE) + ", others array<array<int>>")
 

@@ -36,6 +36,8 @@ LEAST_DOCS, LEAST_RATIO = 4, 20.0
 #: A phrase around a hit is an exception if so many clean documents hold it, and if it is so many
 #: times likelier there.
 EXCEPTION_DOCS, EXCEPTION_RATIO = 4, 4.0
+#: Items that a task counts before it gives up their sums and starts anew.
+HELD = 500_000
 #: Marks a whole word among patterns.
 END = " "
 #: Phrases in which a listed word is harmless; more are learned from clean documents.
@@ -163,21 +165,28 @@ def phrases(automaton: ahocorasick.Automaton, text: str) -> set[str]:
 def document_counts(rows: DataFrame, listed) -> DataFrame:
     """``item, half, y, n``: how many documents of ``rows(y, text, half)`` hold each of ``listed()(text)``.
 
-    Each task counts for itself; only its sums are shuffled.
+    Each task counts for itself, a bounded number of items at a time; only its sums are shuffled.
     """
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("toxicity")
         find, seen = listed(), Counter()
+
+        def sums() -> Iterator[pd.DataFrame]:
+            keys = list(seen)
+            for at in range(0, len(keys), 20_000):
+                part = keys[at : at + 20_000]
+                out = pd.DataFrame(part, columns=["item", "half", "y"])
+                out["n"] = [seen[k] for k in part]
+                yield out
+            seen.clear()
+
         for batch in batches:
             for y, half, text in zip(batch["y"], batch["half"], batch["text"], strict=True):
                 if text:
                     seen.update((item, half, y > 0) for item in find(text))
-        keys = list(seen)
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            out = pd.DataFrame(part, columns=["item", "half", "y"])
-            out["n"] = [seen[k] for k in part]
-            yield out
+                if len(seen) >= HELD:
+                    yield from sums()
+        yield from sums()
 
     schema = "item string, half boolean, y boolean, n long"
     return rows.mapInPandas(tally, schema).groupBy("item").agg(*[
